@@ -214,10 +214,9 @@ MESSAGES: dict[str, T.StructType] = {
         "ipAddress string, userAgent string, organizationName string, vehicleMake string, "
         "vehicleModel string, phoneNumber string"
     ),
-    # The amount is kept as written: the high-value notice quotes it digit for digit.
     "trade": _message(
         f"orderId string, listingId string, buyerId string, sellerId string, quantity {MONEY}, "
-        f"quantityUnit string, unitPrice {MONEY}, amount string, currency string, orderStatus string, "
+        f"quantityUnit string, unitPrice {MONEY}, amount {MONEY}, currency string, orderStatus string, "
         "region string, statusChangedAt timestamp, isAuction boolean, auctionId string"
     ),
     "issuance": _message(

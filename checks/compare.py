@@ -39,6 +39,18 @@ def _rows(columns: list[str], rows) -> list[tuple[str, ...]]:
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+# What DuckDB calls Spark's types.
+SAME_TYPE = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def difference(spark, con, folder: str, name: str) -> str | None:
     """None if the rows agree, else a short account of how they differ."""
     df = queries()[name](spark, folder)
@@ -46,8 +58,10 @@ def difference(spark, con, folder: str, name: str) -> str | None:
     cursor = con.execute(oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     want = _rows(names, cursor.fetchall())
-    if sorted(df.columns) != sorted(names):
-        return f"columns {sorted(df.columns)} and {sorted(names)}"
+    have = sorted((c, SAME_TYPE.get(t, t)) for c, t in df.dtypes)
+    need = sorted((d[0], str(d[1])) for d in cursor.description)
+    if have != need:
+        return f"columns {sorted(set(have) - set(need))} and {sorted(set(need) - set(have))}"
     if got != want:
         first = [(g, w) for g, w in zip(got, want) if g != w][:2]
         return f"{len(got)} and {len(want)} rows; first: {first}"

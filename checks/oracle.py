@@ -120,7 +120,8 @@ def _twice(select: str, again: str) -> str:
 
 
 _TRADE_MESSAGES = """
-  SELECT concat('t-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS event_id,
+  SELECT concat('t-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', strftime(l_shipdate, '%Y%m%d'))
+      AS event_id,
     CASE o_orderstatus WHEN 'F' THEN 'marketplace.trade.completed' WHEN 'O' THEN 'marketplace.trade.created'
       ELSE 'marketplace.trade.updated' END AS routing_key,
     l_shipdate + INTERVAL 8122 DAY AS sent, concat('c-', l_orderkey) AS correlation, CAST(o_custkey AS VARCHAR) AS who,

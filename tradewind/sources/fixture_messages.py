@@ -55,7 +55,15 @@ class FixtureMessages:
             .when(status == "O", "marketplace.trade.created")
             .otherwise("marketplace.trade.updated"),
             F.col("l_partkey") % 50 == 0,
-            eventId=F.concat_ws("-", F.lit("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+            eventId=F.concat_ws(
+                "-",
+                F.lit("t"),
+                "l_orderkey",
+                "l_linenumber",
+                "l_partkey",
+                "l_suppkey",
+                F.date_format("l_shipdate", "yyyyMMdd"),
+            ),
             eventType=F.lit("TRADE"),
             source=F.lit("marketplace-service"),
             timestamp=_shifted("l_shipdate", TRADE_SHIFT),

@@ -55,23 +55,24 @@ class FixtureTables(Tables):
 
     # -- dimensions
 
-    def _places(self) -> DataFrame:
-        """customer -> region, null for every seventh nation."""
-        home = F.when(F.col("n_nationkey") % 7 != 0, F.col("r_name"))
-        nations = (
-            self.raw("nation")
-            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_nationkey", home.alias("region"))
-        )
+    def _placed(self, rows: DataFrame, customer: str) -> DataFrame:
+        """Adds the customer's columns and ``region``, null for every seventh nation.
+
+        The base tables are joined one by one to the rows: a filter on the rows shrinks every later
+        shuffle, and each right side is a plain table whose size Spark knows, so it picks the join well.
+        """
+        return self._region_of(rows.join(self.raw("customer"), F.col(customer) == F.col("c_custkey")))
+
+    def _region_of(self, customers: DataFrame) -> DataFrame:
         return (
-            self.raw("customer")
-            .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("c_custkey", "c_name", "c_mktsegment", "region")
+            customers.join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .withColumn("region", F.when(F.col("n_nationkey") % 7 != 0, F.col("r_name")))
         )
 
     def _dim_users(self, floor: datetime | None) -> DataFrame:
         first_order = self.raw("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
-        known = self._places().filter(F.col("c_custkey") % 20 != 19)
+        known = self._region_of(self.raw("customer").filter(F.col("c_custkey") % 20 != 19))
         return known.join(first_order, F.col("c_custkey") == F.col("o_custkey"), "left").select(
             F.col("c_custkey").alias("user_id"),
             F.col("c_name").alias("username"),
@@ -85,19 +86,15 @@ class FixtureTables(Tables):
 
     def _fact_trade(self, floor: datetime | None) -> DataFrame:
         lines = _late_enough(self.raw("lineitem"), "l_shipdate", floor, TRADE_SHIFT)
-        buyers = (
-            self.raw("orders")
-            .join(self._places(), F.col("o_custkey") == F.col("c_custkey"))
-            .select("o_orderkey", "o_custkey", "o_orderstatus", "region")
-        )
         status = (
             F.when(F.col("o_orderstatus") == "F", "COMPLETED")
             .when(F.col("o_orderstatus") == "O", "CREATED")
             .otherwise("PENDING_PAYMENT")
         )
         auction = F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
+        sold = lines.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return (
-            lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+            self._placed(sold, "o_custkey")
             .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_id"),
@@ -139,22 +136,18 @@ class FixtureTables(Tables):
             .when(F.col("event_type") == "view", "PENDING")
             .otherwise("REJECTED")
         )
-        return (
-            self._events(floor)
-            .filter(F.col("event_type").isin("purchase", "view", "error"))
-            .join(self._places(), F.col("user_id") == F.col("c_custkey"))
-            .select(
-                F.col("event_id").alias("issuance_id"),
-                "user_id",
-                F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
-                _number("value", MONEY).alias("quantity_tco2e"),
-                F.get_json_object("props", "$.k").cast(MEASURE).alias("distance_km"),
-                F.when(F.col("event_id") % 5 != 0, _number("value", MEASURE)).alias("energy_kwh"),
-                _number("user_id", MEASURE).alias("co2_avoided_kg"),
-                F.col("ts").alias("issued_at"),
-                "region",
-                status.alias("status"),
-            )
+        events = self._events(floor).filter(F.col("event_type").isin("purchase", "view", "error"))
+        return self._placed(events, "user_id").select(
+            F.col("event_id").alias("issuance_id"),
+            "user_id",
+            F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
+            _number("value", MONEY).alias("quantity_tco2e"),
+            F.get_json_object("props", "$.k").cast(MEASURE).alias("distance_km"),
+            F.when(F.col("event_id") % 5 != 0, _number("value", MEASURE)).alias("energy_kwh"),
+            _number("user_id", MEASURE).alias("co2_avoided_kg"),
+            F.col("ts").alias("issued_at"),
+            "region",
+            status.alias("status"),
         )
 
     def _fact_user_activity(self, floor: datetime | None) -> DataFrame:

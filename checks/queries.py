@@ -573,12 +573,12 @@ def ntf_apply_reads(t: FixtureTables) -> DataFrame:
 
 @query
 def mnt_purge_refresh_log(t: FixtureTables) -> DataFrame:
-    return maintenance.keep_refresh_log(t.read("mv_refresh_log"), AS_OF, days=20)
+    return t.read("mv_refresh_log").filter(~maintenance.old_refresh(AS_OF, days=20))
 
 
 @query
 def mnt_purge_notifications(t: FixtureTables) -> DataFrame:
-    kept = maintenance.keep_notifications(t.read("system_notifications"), AS_OF)
+    kept = t.read("system_notifications").filter(~maintenance.expired(AS_OF))
     return kept.select("notification_id", "created_at", "expires_at")
 
 

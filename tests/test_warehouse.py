@@ -94,3 +94,13 @@ def test_compact_and_vacuum(spark, warehouse):
 
 def test_scratch_folder_is_in_the_shared_folder(spark):
     assert scratch_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_writers_of_different_tables_both_succeed(spark, warehouse):
+    one, two = warehouse.begin(), warehouse.begin()
+    one.append("fact_payment", payments(spark, ("a", 1, "2023-11-05 00:00:00")))
+    one.mark("x", 1)
+    two.replace("dim_users", frame(spark, "dim_users", [{"user_id": 1, "role": "R"}]))
+    assert (one.commit(), two.commit()) == (1, 2)
+    assert ids(warehouse.read("fact_payment")) == ["a"] and warehouse.read("dim_users").count() == 1
+    assert warehouse.state().marks == {"x": 1}

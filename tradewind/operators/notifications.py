@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import days_back, moment
+from ..functions.clock import days_back
 from ..sources.tables import Tables
 from .paging import Page, page
 
@@ -70,13 +70,8 @@ def unread_counts(tables: Tables) -> DataFrame:
 
 
 def counts_by_level(tables: Tables, as_of: datetime, since: datetime | None = None) -> DataFrame:
-    recent = F.col("created_at") > moment(since or days_back(as_of, 7))
-    return (
-        tables.read("system_notifications")
-        .filter(recent)
-        .groupBy("level")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    rows = tables.read("system_notifications", after=since or days_back(as_of, 7))
+    return rows.groupBy("level").agg(F.count(F.lit(1)).alias("count"))
 
 
 def apply_reads(notifications: DataFrame, reads: DataFrame) -> DataFrame:

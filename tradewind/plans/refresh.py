@@ -101,19 +101,24 @@ def refresh_all(
 
 
 def refresh_by_difference(warehouse: Warehouse, name: str, facts: Tables) -> DataFrame:
-    """Recompute, find the rows that differ, and rewrite only the months they are in.
+    """Recompute, find the rows that differ, and switch only the months they are in.
 
     Returns the differing rows (keys, new values, change).
     """
     spec = ROLLUPS[name]
-    old, new = warehouse.read(name), spec.build(facts.read(spec.fact))
+    tx = warehouse.begin()
+    before = tx.months(name)
+    # The new rollup is computed once, by writing it; the comparison reads what was written.
+    written = {m: [f] for m, f in tx.write(name, spec.build(facts.read(spec.fact))).items()}
+    old = warehouse.folders_as_table(name, tx.state.folders(name))
+    new = warehouse.folders_as_table(name, [f for fs in written.values() for f in fs])
     changes = difference(old, new, spec.keys)
-    month = month_column(TABLES[name].time)
+    month = month_column(TABLES[name].time).alias("month")
     # One value per changed month: bounded by the calendar.
-    months = [r.month for r in changes.select(month.alias("month")).distinct().collect()]
-    if months:
-        tx = warehouse.begin()
-        tx.replace(name, new.filter(month.isin(months)), months)
+    changed = {r.month for r in changes.select(month).distinct().collect()}
+    if changed:
+        kept = {m: f for m, f in before.items() if m not in changed}
+        tx.use(name, kept | {m: f for m, f in written.items() if m in changed})
         tx.commit()
     return changes
 
@@ -147,11 +152,18 @@ def compare_with_direct(tables: Tables, after: datetime) -> DataFrame:
 
 
 def purge(warehouse: Warehouse, as_of: datetime) -> None:
-    """Drop old refresh-log rows and expired notifications."""
+    """Drop old refresh-log rows and expired notifications; only folders holding such rows are rewritten."""
+    gone = {
+        "mv_refresh_log": maintenance.old_refresh(as_of),
+        "system_notifications": maintenance.expired(as_of),
+    }
     tx = warehouse.begin()
-    tx.replace("mv_refresh_log", maintenance.keep_refresh_log(warehouse.read("mv_refresh_log"), as_of))
-    kept = maintenance.keep_notifications(warehouse.read("system_notifications"), as_of)
-    tx.replace("system_notifications", kept)
+    for table, drop in gone.items():
+        folders = warehouse.folders_holding(
+            table, tx.state.folders(table), lambda rows, drop=drop: rows.filter(drop)
+        )
+        if folders:
+            tx.replace_folders(table, folders, warehouse.folders_as_table(table, folders).filter(~drop))
     tx.commit()
 
 
@@ -168,6 +180,20 @@ def apply_retention(warehouse: Warehouse, as_of: datetime) -> dict[str, list[str
 
 
 def mark_read(warehouse: Warehouse, reads: DataFrame) -> None:
+    """Apply read receipts; folders without unread rows stay as they are."""
+    table = "system_notifications"
     tx = warehouse.begin()
-    tx.replace("system_notifications", notifications.apply_reads(warehouse.read("system_notifications"), reads))
-    tx.commit()
+    folders = warehouse.folders_holding(table, tx.state.folders(table), lambda rows: rows.filter(~F.col("read_status")))
+    if folders:
+        rows = warehouse.folders_as_table(table, folders)
+        tx.replace_folders(table, folders, notifications.apply_reads(rows, reads))
+        tx.commit()
+
+
+def compact(warehouse: Warehouse, least: int = 24) -> None:
+    """Merge the folders that micro-batches leave behind, in months that have many of them."""
+    for table in TABLES:
+        tx = warehouse.begin()
+        tx.compact(table, least)
+        if tx.state != tx.base:
+            tx.commit()

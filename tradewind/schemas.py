@@ -127,6 +127,7 @@ _TABLES = [
             "read_at timestamp, created_at timestamp, expires_at timestamp"
         ),
         key=("notification_id",),
+        time="created_at",
         defaults={"read_status": False},
     ),
     Table(

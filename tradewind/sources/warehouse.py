@@ -9,7 +9,9 @@ One commit can cover any number of tables, and records how far each stream got.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -32,7 +34,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder the cluster names; removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        base = tempfile.mkdtemp(prefix="tradewind-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     files = Files(spark)
     files.make(path)
@@ -141,6 +145,17 @@ class Warehouse(Tables):
         """The stored rollup as of its last refresh."""
         return self.read(name, after=after)
 
+    def folders_holding(self, name: str, folders: list[str], choose: Callable[[DataFrame], DataFrame]) -> list[str]:
+        """Which of the folders hold rows that ``choose`` (a filter or semi join) keeps.
+
+        The result has one entry per folder, so it is bounded by their number, not by rows.
+        """
+        if not folders:
+            return []
+        rows = self.folders_as_table(name, folders).withColumn("file", F.col("_metadata.file_path"))
+        folder = F.regexp_extract("file", f"({name}/[^/]+(/month=[^/]+)?)/[^/]+$", 1)
+        return sorted(r.folder for r in choose(rows).select(folder.alias("folder")).distinct().collect())
+
     # -- writing
 
     def begin(self) -> Transaction:
@@ -170,10 +185,11 @@ class Transaction:
 
     def __init__(self, warehouse: Warehouse):
         self.warehouse = warehouse
-        self.state = warehouse.state().copy()
+        self.base = warehouse.state()
+        self.state = self.base.copy()
 
-    def _write(self, table: str, df: DataFrame) -> dict[str, str]:
-        """Write to a new folder split by month; month -> folder."""
+    def write(self, table: str, df: DataFrame) -> dict[str, str]:
+        """Write to a new folder split by month; month -> folder. Nothing refers to it yet."""
         spec, home = TABLES[table], f"{table}/{uuid.uuid4().hex}"
         path = f"{self.warehouse.root}/{home}"
         rows = conform(df, spec)
@@ -191,48 +207,75 @@ class Transaction:
         written = [n for n in self.warehouse.files.names(path) if n.startswith("month=")]
         return {n.split("=", 1)[1]: f"{home}/{n}" for n in written}
 
+    def months(self, table: str) -> dict[str, list[str]]:
+        """Month -> folders, as this transaction sees them."""
+        return dict(self.state.tables.get(table, {}))
+
+    def use(self, table: str, months: dict[str, list[str]]) -> None:
+        """Let the table consist of these folders."""
+        self.state.tables[table] = {m: f for m, f in months.items() if f}
+
     def append(self, table: str, df: DataFrame) -> None:
-        months = self.state.tables.setdefault(table, {})
-        for month, folder in self._write(table, df).items():
-            months.setdefault(month, []).append(folder)
+        months = self.months(table)
+        for month, folder in self.write(table, df).items():
+            months[month] = [*months.get(month, []), folder]
+        self.use(table, months)
 
     def replace(self, table: str, df: DataFrame, months: list[str] | None = None) -> None:
         """Put ``df`` in place of the given months (all by default)."""
-        old = self.state.tables.get(table, {})
-        kept = {} if months is None else {m: f for m, f in old.items() if m not in months}
-        for month, folder in self._write(table, df).items():
-            kept.setdefault(month, []).append(folder)
-        self.state.tables[table] = kept
+        kept = {} if months is None else {m: f for m, f in self.months(table).items() if m not in months}
+        for month, folder in self.write(table, df).items():
+            kept[month] = [*kept.get(month, []), folder]
+        self.use(table, kept)
 
     def replace_folders(self, table: str, folders: list[str], df: DataFrame) -> None:
         """Put ``df`` in place of single folders, leaving the rest of their months alone."""
         gone = set(folders)
-        old = self.state.tables.get(table, {})
-        kept = {m: [f for f in fs if f not in gone] for m, fs in old.items()}
-        self.state.tables[table] = {m: fs for m, fs in kept.items() if fs}
+        self.use(table, {m: [f for f in fs if f not in gone] for m, fs in self.months(table).items()})
         self.append(table, df)
 
     def drop_months(self, table: str, months: list[str]) -> None:
-        self.state.tables[table] = {
-            m: f for m, f in self.state.tables.get(table, {}).items() if m not in months
-        }
-
-    def compact(self, table: str, months: list[str] | None = None) -> None:
-        """Merge the many small folders of appended months into one folder each."""
-        found = self.state.tables.get(table, {})
-        chosen = [m for m, f in found.items() if len(f) > 1 and (months is None or m in months)]
-        if chosen:
-            folders = [f for m in chosen for f in found[m]]
-            self.replace(table, self.warehouse.folders_as_table(table, folders), chosen)
+        self.use(table, {m: f for m, f in self.months(table).items() if m not in months})
+
+    def compact(self, table: str, least: int = 2) -> None:
+        """Merge the folders of months that have gathered at least ``least`` of them."""
+        found = {m: f for m, f in self.months(table).items() if len(f) >= max(least, 2)}
+        if found:
+            folders = [f for fs in found.values() for f in fs]
+            self.replace(table, self.warehouse.folders_as_table(table, folders), list(found))
 
     def mark(self, name: str, value: object) -> None:
         self.state.marks[name] = value
 
-    def commit(self) -> int:
+    def commit(self, tries: int = 10) -> int:
+        """Make the writes visible, on top of commits others made meanwhile to other tables.
+
+        Fails with ConflictError if one of them changed a table or mark this transaction changes too.
+        """
         files, home = self.warehouse.files, f"{self.warehouse.root}/{COMMITS}"
         files.make(home)
-        self.state.number += 1
-        files.put_new(f"{home}/{self.state.number:012d}.json", json.dumps(vars(self.state)))
-        return self.state.number
-
-
+        for _ in range(tries):
+            latest = self.warehouse.state()
+            result = self._onto(latest)
+            result.number = latest.number + 1
+            try:
+                files.put_new(f"{home}/{result.number:012d}.json", json.dumps(vars(result)))
+            except ConflictError:
+                continue
+            self.base, self.state = result, result.copy()
+            return result.number
+        raise ConflictError(f"{home}: gave up after {tries} tries")
+
+    def _onto(self, latest: State) -> State:
+        result = latest.copy()
+        for mine, base, theirs, target in (
+            (self.state.tables, self.base.tables, latest.tables, result.tables),
+            (self.state.marks, self.base.marks, latest.marks, result.marks),
+        ):
+            for name in mine:
+                if mine[name] == base.get(name):
+                    continue
+                if theirs.get(name) != base.get(name):
+                    raise ConflictError(f"{name} was changed by another writer")
+                target[name] = mine[name]
+        return result

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import days_back, moment
+from ..functions.clock import days_back
 from ..functions.layout import count_rows, how_many, newest_first, oldest_first, one_row, top
 from ..sources.tables import Tables
 
@@ -42,11 +42,8 @@ def users_by_region(tables: Tables) -> DataFrame:
 
 
 def recent_registrations(tables: Tables, as_of: datetime, days: int = 30) -> DataFrame:
-    since = moment(days_back(as_of, days))
-    return (
-        tables.read("dim_users")
-        .filter(F.col("created_at") > since)
-        .agg(count_rows().alias("recent_registrations"))
+    return tables.read("dim_users", after=days_back(as_of, days)).agg(
+        count_rows().alias("recent_registrations")
     )
 
 
@@ -200,7 +197,7 @@ def issuance_unique_users(tables: Tables, as_of: datetime, days: int = 30) -> Da
 
 
 def user_registrations(tables: Tables, as_of: datetime, days: int = 30) -> DataFrame:
-    recent = tables.read("dim_users").filter(F.col("created_at") > moment(days_back(as_of, days)))
+    recent = tables.read("dim_users", after=days_back(as_of, days))
     return recent.groupBy(F.to_date("created_at").alias("date")).agg(count_rows().alias("count")).orderBy("date")
 
 

@@ -96,6 +96,7 @@ _TABLES = [
             "last_login_at timestamp, phone_number string"
         ),
         key=("user_id",),
+        time="created_at",
         defaults={"enabled": True},
         renames={"org": "organization_name"},
     ),

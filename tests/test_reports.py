@@ -175,4 +175,4 @@ def test_jdbc_reads_in_slices_of_time(spark):
         "2024-01-01 00:00:00",
         "32",
     )
-    assert "partitionColumn" not in tables.options("dim_users")
+    assert "partitionColumn" not in tables.options("dim_project")

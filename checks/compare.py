@@ -71,7 +71,8 @@ def difference(spark, con, folder: str, name: str) -> str | None:
 def main(folder: str, *names: str) -> int:
     from tradewind.session import build_session
 
-    spark = build_session("checks", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g"}
+    spark = build_session("checks", "local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = database(folder), 0
     for name in names or queries():

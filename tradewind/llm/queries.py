@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradewind.llm import packing, token_files
+from tradewind.llm import archives, decontaminate, knn_quality, packing, secrets, token_files, va_search
 from tradewind.llm.shared import shared_folder
 from tradewind.llm.tokenizing import default_vocabulary
 
@@ -17,20 +18,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "archives")
+    arcs = archives.write_arc(table(spark, sf_dir, "pages"), folder)
+    found = archives.records(archives.convert(spark, arcs, folder, least_bytes=0))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS first_page FROM p)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(sha1(payload), (1 + 5 * (k // 4))::INTEGER, 5))::INTEGER) >> (15 - 5 * (k % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+    CASE WHEN first_page IS NULL OR first_page = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first_page = page_id THEN NULL ELSE first_page END AS refers_to
+FROM g
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.digest(packing.pack(spark, docs, shared_folder(spark, "packing"), default_vocabulary()))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = knn_quality.fit(spark, docs, table(spark, sf_dir, "labels"))
+    return knn_quality.classified(knn_quality.score(spark, docs, model))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return va_search.top_k(spark, vectors, F.col("vec_id") % 100 == 0, shared_folder(spark, "va-search"), k=10, scale=1024)
+
+
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+) WHERE rank <= 10
+"""
+
+
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     manifest = token_files.write(spark, table(spark, sf_dir, "documents"), folder, default_vocabulary())
     return token_files.digest(token_files.read(manifest))
 
 
+QUERIES: list[Query] = [op1_arc_to_warc, op2_best_fit_packing, op3_quality_classifier, op4_exact_top_k, op7_benchmark_leaks, op8_secret_scan, op9_token_files]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op9_token_files)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """No SQL: tokenizer ids and the packing of them (2, 9), learned scores (3, 5), edit distances (7), test batteries (8) and
+    repeated byte strings over all texts (6); ``tests/llm`` has brute-force versions of these."""
+    return {"op1_arc_to_warc": OP1_SQL, "op4_exact_top_k": OP4_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archives, decontaminate, knn_quality, packing, secrets, token_files, va_search
+from tradewind.llm import archives, decontaminate, jaccard_tree, knn_quality, ngram_trie, packing, secrets, suffix_groups, token_files, va_search
 from tradewind.llm.shared import shared_folder
 from tradewind.llm.tokenizing import default_vocabulary
 
@@ -66,6 +66,16 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trie = ngram_trie.train(spark, docs.where(~ngram_trie.held_out()), shared_folder(spark, "ngram-trie"))
+    return ngram_trie.digest(ngram_trie.score(docs, trie), trie)
+
+
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.without_repeats(spark, table(spark, sf_dir, "documents"), shared_folder(spark, "repeats"))
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,7 +90,29 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read(manifest))
 
 
-QUERIES: list[Query] = [op1_arc_to_warc, op2_best_fit_packing, op3_quality_classifier, op4_exact_top_k, op7_benchmark_leaks, op8_secret_scan, op9_token_files]
+def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.groups(spark, table(spark, sf_dir, "documents"), shared_folder(spark, "jaccard"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: list[Query] = [
+    op1_arc_to_warc,
+    op2_best_fit_packing,
+    op3_quality_classifier,
+    op4_exact_top_k,
+    op5_ngram_scores,
+    op6_repeated_bytes,
+    op7_benchmark_leaks,
+    op8_secret_scan,
+    op9_token_files,
+    op10_jaccard_groups,
+    pipeline,
+]
 
 
 def queries() -> dict[str, Query]:

@@ -71,10 +71,10 @@ def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield b, order[ends[b] : ends[b + 1]]
 
 
-def per_bucket(packed: DataFrame, merge: Callable[[int, list[bytes]], Iterator[pd.DataFrame]], schema: str, buckets: int) -> DataFrame:
+def per_bucket(packed: DataFrame, merge: Callable[[int, list[bytes]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """All blobs of a bucket given to ``merge``. Rows (bucket, blob); buckets are ranges of hashes, so they are alike in size.
 
-    The caller makes as many buckets as keep each of them small (see ``bucket_count``).
+    A task holds one bucket at a time. The caller makes as many buckets as keep each of them small (see ``bucket_count``).
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,15 +88,22 @@ def per_bucket(packed: DataFrame, merge: Callable[[int, list[bytes]], Iterator[p
         if held:
             yield from merge(held[0][0], [x for _, x in held])
 
-    placed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInPandas(run, schema)
+    return packed.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
 
 
-def bucket_count(df: DataFrame, per_partition: int = 4, least: int = 16) -> int:
+def bucket_count(df: DataFrame, per_partition: int = 4, least: int = 64) -> int:
     """Buckets in proportion to the input: a multiple of its partitions, which Spark sizes by bytes."""
     return max(least, per_partition * df.rdd.getNumPartitions())
 
 
+# A semi or anti join sends its ids to all executors up to this number (some 16 MB); beyond it both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def crc32_mod5(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5; null ids have none."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

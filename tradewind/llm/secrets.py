@@ -241,7 +241,10 @@ def joined(array: Column) -> Column:
 
 def digest(scanned: DataFrame) -> DataFrame:
     found = F.col("secret_spans")
-    counts = [F.size(F.filter(found, lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS[:3])]
+    # A span's kind, not a lambda with a second parameter: that would be its place in the array.
+    kinds = F.transform(found, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, n)).cast("long") for n in range(3)]
+    counts = [(F.size(kinds) - c).cast("long").alias(f"n_{k}") for c, k in zip(counts, KINDS)]
     base = F.sha2(joined(F.filter(found, lambda s: s["kind"] < 3)).cast("binary"), 256)
     return scanned.select(F.col("doc_id").cast("long"), *counts, base.alias("base_sha256"), joined(found).alias("spans"))
 

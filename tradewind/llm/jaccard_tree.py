@@ -444,7 +444,7 @@ def groups(spark: SparkSession, docs: DataFrame, folder: str, words: int = WORDS
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without all but the smallest doc_id of each group. A doc_id stays if one of its rows is its group's
-    smallest; equal rows become one. Rows without doc_id stay if nothing with an id is in their group.
+    smallest; equal rows of one id become one. Rows without doc_id count as rows of one id.
     """
     found = stored(groups(spark, docs, folder, words), f"{folder}/found")
     stays = F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())

@@ -46,12 +46,14 @@ TABLES = {
     CASE WHEN event_id % 5 <> 0 THEN CAST(value AS DECIMAL(12,2)) END AS energy_kwh,
     CAST(user_id AS DECIMAL(12,2)) AS co2_avoided_kg, ts AS issued_at, region
   FROM events JOIN places ON user_id = c_custkey WHERE event_type IN ('purchase', 'view', 'error')""",
-    "fact_user_activity": "SELECT user_id, event_type, props AS event_data, ts AS occurred_at FROM events",
+    "fact_user_activity": """
+  SELECT CASE WHEN user_id % 20 = 19 THEN -user_id ELSE user_id END AS user_id, event_type, props AS event_data,
+    ts AS occurred_at FROM events""",
     "dim_users": """
   SELECT c_custkey AS user_id, c_name AS username, c_mktsegment AS role, region,
     first_order + INTERVAL 8217 DAY AS created_at, c_custkey % 11 <> 0 AS enabled
   FROM places LEFT JOIN (SELECT o_custkey, MIN(o_orderdate) AS first_order FROM orders GROUP BY 1) f
-    ON o_custkey = c_custkey WHERE c_custkey % 20 <> 19""",
+    ON o_custkey = c_custkey""",
     "consumed_events": """
   SELECT CAST(event_id AS VARCHAR) AS event_id, ts AS received_at, CASE event_type WHEN 'signup' THEN 'USER_EVENT'
     WHEN 'purchase' THEN 'TRADE_EVENT' WHEN 'view' THEN 'ISSUANCE_EVENT' WHEN 'click' THEN 'PAYMENT_EVENT' END
@@ -324,13 +326,16 @@ SELECT 'fact_issuance', strftime(issued_at, '%Y-%m'), COUNT(*) FROM fact_issuanc
 SELECT 'fact_user_activity', strftime(occurred_at, '%Y-%m'), COUNT(*) FROM fact_user_activity GROUP BY 2""",
     "sink_dead_letter": "SELECT routing_key, stream, reason, event_id FROM dead",
     "sink_payload_json": f"""
-SELECT event_id, payment_id, {num("amount")} AS amount, status, sent AS sent_at, error AS error_message
-FROM payment_messages""",
+SELECT event_id, 'payment' AS stream, correlation, payment_id, {num("amount")} AS amount, status AS shown, sent AS sent_at,
+  error AS error_message FROM payment_messages
+UNION ALL SELECT event_id, 'trade', correlation, NULL, {num("amount")}, status, sent, NULL FROM trade_messages
+UNION ALL SELECT event_id, 'user', correlation, NULL, NULL, action, sent, NULL FROM user_messages
+UNION ALL SELECT event_id, 'issuance', correlation, NULL, NULL, status, sent, NULL FROM issuance_messages""",
     "ing_dedup_events": f"""
 SELECT DISTINCT event_id, received_at, event_type FROM event_deliveries d
 WHERE NOT EXISTS (SELECT 1 FROM consumed_events c WHERE c.event_id = d.event_id AND c.received_at <= {ago(7)})""",
     "ing_mark_consumed": f"""
-SELECT event_id, 'ISSUANCE_EVENT' AS event_type, {AS_OF} AS received_at FROM issuance_once WHERE reason IS NULL""",
+SELECT event_id, concat(upper(stream), '_EVENT') AS event_type, {AS_OF} AS received_at FROM good""",
     "ing_validate_ids": """
 SELECT event_id, buyer_text, CASE WHEN regexp_full_match(buyer_text, '[+-]?[0-9]+')
   THEN CAST(buyer_text AS BIGINT) END AS buyer_id, CAST(seller_text AS BIGINT) AS seller_id, reason

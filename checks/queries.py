@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -151,19 +152,28 @@ def sink_dead_letter(t: FixtureTables) -> DataFrame:
 @query
 def sink_payload_json(t: FixtureTables) -> DataFrame:
     """Whole events as JSON text, shown by reading fields back from the text."""
-    events = decoded(FixtureMessages(t).payments()).select("event_id", msg.payload("payment").alias("payload"))
-
-    def field(name: str):
-        return F.get_json_object("payload", f"$.{name}")
-
-    return events.select(
-        "event_id",
-        field("paymentId").alias("payment_id"),
-        field("amount").cast("decimal(18,6)").alias("amount"),
-        field("status").alias("status"),
-        field("timestamp").cast("timestamp").alias("sent_at"),
-        field("errorMessage").alias("error_message"),
-    )
+    given = FixtureMessages(t)
+    streams = {"payment": given.payments(), "trade": given.trades(), "user": given.users(), "issuance": given.issuances()}
+    shown = {"trade": "orderStatus", "user": "action"}
+    result = None
+    for stream, messages in streams.items():
+        events = decoded(messages).select("event_id", msg.payload(stream).alias("payload"))
+
+        def field(name: str):
+            return F.get_json_object("payload", f"$.{name}")
+
+        one = events.select(
+            "event_id",
+            F.lit(stream).alias("stream"),
+            field("correlationId").alias("correlation"),
+            field("paymentId").alias("payment_id"),
+            field("amount").cast("decimal(18,6)").alias("amount"),
+            field(shown.get(stream, "status")).alias("shown"),
+            field("timestamp").cast("timestamp").alias("sent_at"),
+            field("errorMessage").alias("error_message"),
+        )
+        result = one if result is None else result.unionAll(one)
+    return result
 
 
 # ---- intake -----------------------------------------------------------------
@@ -179,7 +189,8 @@ def ing_dedup_events(t: FixtureTables) -> DataFrame:
 
 @query
 def ing_mark_consumed(t: FixtureTables) -> DataFrame:
-    ledger = notices.ledger_rows(fresh(FixtureMessages(t).issuances()), AS_OF)
+    """Events of all four streams."""
+    ledger = notices.ledger_rows(fresh(FixtureMessages(t).all()), AS_OF)
     return ledger.select("event_id", "event_type", "received_at")
 
 
@@ -385,7 +396,7 @@ for _name in rollups.ROLLUPS:
 
 def _ticking(start: datetime = AS_OF) -> Callable[[], datetime]:
     """A clock that moves one second per look, so that stored times do not depend on the machine."""
-    looks = iter(range(1_000_000))
+    looks = itertools.count()
     return lambda: start + timedelta(seconds=next(looks))
 
 
@@ -649,7 +660,7 @@ def _window_counts(t: FixtureTables, width: str) -> DataFrame:
         .parquet(t.folder)
         .withColumn("received_at", F.col("ts").cast("timestamp"))
     )
-    counts = windows.event_counts(stream, "received_at", width, "40 days")
+    counts = windows.event_counts(stream, "received_at", width)
     windows.keep_counts(counts, f"{home}/counts", f"{home}/progress").awaitTermination()
     return windows.read_counts(t.spark, f"{home}/counts")
 

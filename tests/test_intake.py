@@ -3,7 +3,9 @@ import os
 import pytest
 
 from tests.helpers import AS_OF, UUID, dicts, message, messages
+from tradewind.plans import refresh
 from tradewind.sources import messages as msg
+from tradewind.sources.warehouse import ConflictError
 from tradewind.streaming import intake, windows
 
 TABLES = ("fact_trade", "fact_payment", "fact_issuance", "fact_user_activity", "dim_users", "consumed_events",
@@ -153,3 +155,81 @@ def test_only_folders_of_touched_users_are_rewritten(spark, warehouse):
     assert warehouse.state().tables["dim_users"]["2023-11"] == [old]
     names = {r["user_id"]: r["username"] for r in dicts(warehouse.read("dim_users"))}
     assert names == {1: "ann", 2: "new"}
+
+
+def _meanwhile(monkeypatch, act):
+    """``act`` runs once, after the batch is decoded and before anything is written."""
+    usual, done = intake.notices.counters, []
+
+    def counters(processed):
+        if not done:
+            done.append(True)
+            act()
+        return usual(processed)
+
+    monkeypatch.setattr(intake.notices, "counters", counters)
+
+
+def test_compaction_during_a_batch_gives_no_duplicates(spark, warehouse, monkeypatch):
+    run(warehouse, spark, 0, message("trade", "t1"))
+    run(warehouse, spark, 1, message("trade", "t2", orderId=UUID(2)))
+    _meanwhile(monkeypatch, lambda: refresh.compact(warehouse, least=2))
+    with pytest.raises(ConflictError):
+        run(warehouse, spark, 2, message("trade", "t3", amount=1))
+    monkeypatch.undo()
+    run(warehouse, spark, 2, message("trade", "t3", amount=1))
+    assert sorted((r["order_id"], int(r["amount"])) for r in dicts(warehouse.read("fact_trade"))) == [(UUID(1), 1), (UUID(2), 20)]
+
+
+def test_a_second_intake_of_the_same_batch_fails(spark, warehouse, monkeypatch):
+    _meanwhile(monkeypatch, lambda: run(warehouse, spark, 0, *FIRST))
+    with pytest.raises(ConflictError):
+        run(warehouse, spark, 0, *FIRST)
+    once = counts(warehouse)
+    assert once["consumed_events"] == 4 and once["fact_payment"] == 1 and once["dim_users"] == 1
+
+
+def test_maintenance_between_batches(spark, warehouse, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i, rows in enumerate((FIRST, SECOND)):
+        messages(spark, *rows).coalesce(1).write.json(str(tmp_path / f"d{i}"))
+        (part,) = (tmp_path / f"d{i}").glob("*.json")
+        (inbox / f"{i}.json").write_text(part.read_text())
+        os.utime(inbox / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+
+    def between(store, batch_id):
+        refresh.compact(store, least=2)
+        refresh.purge(store, AS_OF)
+        unread = store.read("system_notifications").filter("NOT read_status")
+        reads = unread.selectExpr("notification_id", "cast(NULL AS bigint) AS user_id", "timestamp '2024-01-30 00:00:00' AS read_at")
+        refresh.mark_read(store, reads)
+
+    stream = msg.message_stream(spark, str(inbox), maxFilesPerTrigger="1")
+    started = intake.start(warehouse, stream, str(tmp_path / "cp"), clock=lambda: AS_OF, available_now=True, between=between)
+    started.awaitTermination()
+    assert warehouse.state().marks["intake"] == 1
+    other = type(warehouse)(spark, str(tmp_path / "other"))
+    run(other, spark, 0, *FIRST)
+    run(other, spark, 1, *SECOND)
+    same = [t for t in TABLES if t != "system_notifications"]
+    assert {t: contents(warehouse)[t] for t in same} == {t: contents(other)[t] for t in same}
+    assert warehouse.read("system_notifications").filter("NOT read_status").count() == 0
+    assert all(len(f) == 1 for t in ("fact_trade", "system_logs") for f in warehouse.state().tables[t].values())
+
+
+def test_window_counts_without_a_bound_lose_nothing(spark, tmp_path):
+    """Files 60 days apart, the older one read last; with a bound, what is dropped is found."""
+    inbox, days = tmp_path / "in", ("2024-03-05 10:00:00", "2024-01-05 10:00:00")
+    for bound, expected in ((None, 2), ("1 day", 1)):
+        out = tmp_path / f"out-{bound}"
+        for n, day in enumerate(days):
+            if bound is None:
+                spark.createDataFrame([(day,)], "t string").selectExpr("cast(t as timestamp) at").coalesce(1).write.parquet(str(inbox / f"{n}"))
+            stream = spark.readStream.schema("at timestamp").parquet(f"{inbox}/{'[0-%d]' % n}")
+            kept = windows.event_counts(stream, "at", "1 day", bound)
+            windows.keep_counts(kept, str(out), str(tmp_path / f"cp-{bound}")).awaitTermination()
+        found = windows.read_counts(spark, str(out))
+        assert found.count() == expected
+        missing = windows.late_events(spark.read.parquet(f"{inbox}/[0-1]"), found, "at", "1 day")
+        assert missing.count() == 2 - expected

@@ -3,9 +3,10 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tests.helpers import AS_OF, dicts, frame
-from tradewind.operators import maintenance, rollups
+from tradewind.operators import maintenance, refreshes, rollups
 from tradewind.plans import refresh
 from tradewind.schemas import TABLES
+from tradewind.streaming import intake
 
 
 def trades(spark, *rows):
@@ -40,7 +41,15 @@ def test_refresh_equals_direct_aggregation_and_is_logged(spark, warehouse):
     assert rows(warehouse.rollup("mv_trades_daily")) == rows(direct(warehouse, "mv_trades_daily"))
     log = {r["mv_name"]: (r["status"], r["rows_affected"]) for r in dicts(refresh.refresh_log(warehouse))}
     assert log["mv_trades_daily"] == ("SUCCESS", 1) and len(log) == 4
-    assert warehouse.read("mv_refresh_log").count() == 8  # start and end of each
+    assert warehouse.read("mv_refresh_log").count() == 4  # start and end are one row
+    # The store's clock is the machine's, so the window of the statistics ends a day from now.
+    as_of = intake.utc_now() + timedelta(days=1)
+    for name in rollups.ROLLUPS:
+        (stats,) = dicts(refreshes.stats(warehouse, as_of, name))
+        assert (stats["total_refreshes"], stats["successful"], stats["failed"]) == (1, 1, 0)
+        assert [r["status"] for r in dicts(refreshes.history(warehouse, name))] == ["SUCCESS"]
+    assert [r["status"] for r in dicts(refreshes.history(warehouse))] == ["SUCCESS"] * 4
+    assert {r["view_name"]: r["is_stale"] for r in dicts(refreshes.status(warehouse, as_of))} == dict.fromkeys(rollups.ROLLUPS, True)
 
 
 def test_only_changed_months_are_recomputed(spark, warehouse):
@@ -64,13 +73,15 @@ def test_failed_refresh_keeps_the_rollup_and_is_logged(spark, warehouse):
     refresh.refresh(warehouse, "mv_trades_daily")
     before = rows(warehouse.rollup("mv_trades_daily"))
     store(warehouse, "fact_trade", trades(spark, ("b", 1, "2024-01-06 00:00:00")))
-    boom = F.raise_error(F.lit("boom")).cast("bigint")
+    boom = F.raise_error(F.lit("boom" * 1000)).cast("bigint")
     status = refresh.refresh(
         warehouse, "mv_trades_daily", build=lambda df: rollups.trades_daily(df).withColumn("trade_count", boom)
     )
     assert status == "FAILED" and rows(warehouse.rollup("mv_trades_daily")) == before
     failed = [r for r in dicts(refresh.refresh_log(warehouse)) if r["status"] == "FAILED"]
-    assert len(failed) == 1 and "boom" in failed[0]["error_message"]
+    assert len(failed) == 1 and "boom" * 1000 in failed[0]["error_message"]  # whole
+    (stats,) = dicts(refreshes.stats(warehouse, intake.utc_now() + timedelta(days=1), "mv_trades_daily"))
+    assert (stats["total_refreshes"], stats["successful"], stats["failed"]) == (2, 1, 1)
 
 
 def test_old_plus_difference_is_new(spark, warehouse, memory):

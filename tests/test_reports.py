@@ -176,3 +176,21 @@ def test_jdbc_reads_in_slices_of_time(spark):
         "32",
     )
     assert "partitionColumn" not in tables.options("dim_project")
+
+
+def test_totals_are_there_without_rows(memory):
+    empty = memory()
+    assert [(r["event_type"], r["count"], r["count_24h"], r["is_total"]) for r in dicts(regions.event_metrics(empty, AS_OF))] == [(None, 0, 0, True)]
+    assert [(r["role"], r["count"], r["is_total"]) for r in dicts(regions.user_metrics(empty))] == [(None, 0, True)]
+    assert [tuple(r.values()) for r in dicts(regions.activity_metrics(empty, AS_OF))] == [(None, None, 0, 0)]
+
+
+def test_activity_totals_in_an_empty_week(memory):
+    old = [{"user_id": 1, "event_type": "E", "occurred_at": "2023-06-01 00:00:00"}] * 3
+    assert [tuple(r.values()) for r in dicts(regions.activity_metrics(memory(fact_user_activity=old), AS_OF))] == [(None, None, 3, 0)]
+
+
+def test_users_without_a_role_are_not_the_total(memory):
+    users = [{"user_id": i, "role": r} for i, r in ((1, "A"), (2, None), (3, "A"))]
+    got = [(r["role"], r["count"], r["is_total"]) for r in dicts(regions.user_metrics(memory(dim_users=users)))]
+    assert sorted(got, key=str) == sorted([(None, 3, True), ("A", 2, False), (None, 1, False)], key=str)

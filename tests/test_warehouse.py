@@ -1,7 +1,12 @@
+from datetime import UTC, datetime, timedelta
+
 import pytest
 
 from tests.helpers import AS_OF, dicts, frame
 from tradewind.functions.clock import days_back
+from tradewind.operators import logs
+from tradewind.plans import dashboards, health
+from tradewind.schemas import TABLES
 from tradewind.sources.warehouse import ConflictError, Warehouse, scratch_folder
 
 
@@ -87,8 +92,13 @@ def test_compact_and_vacuum(spark, warehouse):
     tx.commit()
     assert len(warehouse.state().folders("fact_payment")) == 1
     assert ids(warehouse.read("fact_payment")) == ["0", "1", "2"]
-    assert warehouse.vacuum(keep=10) == 0
-    assert warehouse.vacuum(keep=1) == 3
+    now = datetime.now(UTC).replace(tzinfo=None)
+    assert warehouse.vacuum(now) == 0  # by age: nothing is old enough, however many commits there were
+    assert len(warehouse.pointers("intake")) == 4
+    with pytest.raises(ValueError):
+        warehouse.vacuum(now, keep=timedelta(minutes=5))
+    assert warehouse.vacuum(now + timedelta(days=2)) == 3
+    assert len(warehouse.pointers("intake")) == 1
     assert ids(Warehouse(spark, warehouse.root).read("fact_payment")) == ["0", "1", "2"]
 
 
@@ -100,7 +110,56 @@ def test_writers_of_different_tables_both_succeed(spark, warehouse):
     one, two = warehouse.begin(), warehouse.begin()
     one.append("fact_payment", payments(spark, ("a", 1, "2023-11-05 00:00:00")))
     one.mark("x", 1)
-    two.replace("dim_users", frame(spark, "dim_users", [{"user_id": 1, "role": "R"}]))
-    assert (one.commit(), two.commit()) == (1, 2)
-    assert ids(warehouse.read("fact_payment")) == ["a"] and warehouse.read("dim_users").count() == 1
+    two.append("mv_refresh_log", frame(spark, "mv_refresh_log", [{"mv_name": "m", "refresh_started_at": AS_OF, "status": "RUNNING"}]))
+    assert (one.commit(), two.commit()) == (1, 1)
+    assert ids(warehouse.read("fact_payment")) == ["a"] and warehouse.read("mv_refresh_log").count() == 1
     assert warehouse.state().marks == {"x": 1}
+
+
+def test_one_transaction_writes_one_pointer(spark, warehouse):
+    tx = warehouse.begin()
+    tx.append("fact_payment", payments(spark, ("a", 1, "2023-11-05 00:00:00")))
+    tx.append("mv_refresh_log", frame(spark, "mv_refresh_log", [{"mv_name": "m", "refresh_started_at": AS_OF, "status": "RUNNING"}]))
+    with pytest.raises(ValueError):
+        tx.commit()
+
+
+def test_folders_that_are_gone_are_not_replaced(spark, warehouse):
+    tx = warehouse.begin()
+    tx.append("fact_payment", payments(spark, ("a", 1, "2023-11-05 00:00:00")))
+    tx.commit()
+    (old,) = warehouse.state().folders("fact_payment")
+    tx = warehouse.begin()
+    tx.replace("fact_payment", payments(spark, ("b", 1, "2023-11-05 00:00:00")))
+    tx.commit()
+    with pytest.raises(ConflictError):
+        warehouse.begin().replace_folders("fact_payment", [old], payments(spark, ("c", 1, "2023-11-05 00:00:00")))
+
+
+def test_columns_renamed_since_are_read(spark, warehouse):
+    """A folder written before ``org`` became ``organization_name``."""
+    tx = warehouse.begin()
+    tx.append("dim_users", frame(spark, "dim_users", [{"user_id": 1, "role": "R", "organization_name": "new"}]))
+    tx.commit()
+    (folder,) = warehouse.state().folders("dim_users")
+    old = frame(spark, "dim_users", [{"user_id": 2, "role": "R", "organization_name": "old"}]).withColumnRenamed("organization_name", "org")
+    old.write.mode("append").parquet(f"{warehouse.root}/{folder}")
+    assert {r["user_id"]: r["organization_name"] for r in dicts(warehouse.read("dim_users"))} == {1: "new", 2: "old"}
+
+
+def test_newest_rows_leave_old_months_unread(spark, warehouse):
+    days = ("2023-10-05", "2023-11-05", "2023-12-05", "2024-01-05")
+    for table, time, key in (("fact_trade", "executed_at", "order_id"), ("consumed_events", "received_at", "event_id"), ("system_logs", "log_timestamp", "id")):
+        rows = [{key: d, time: f"{d} 00:00:00", "log_level": "ERROR" if d < "2023-12" else "INFO", "source_service": "s"} for d in days]
+        tx = warehouse.begin()
+        tx.append(table, frame(spark, table, [{k: v for k, v in r.items() if k in TABLES[table].columns} for r in rows]))
+        tx.commit()
+    old = lambda df: any("month=2023-10" in f for f in df.inputFiles())
+    newest = dashboards.recent_trades(warehouse, n=2)
+    assert [r["order_id"] for r in dicts(newest)] == ["2024-01-05", "2023-12-05"] and not old(newest)
+    assert [r["event_id"] for r in dicts(health.latest_event(warehouse))] == ["2024-01-05"] and not old(health.latest_event(warehouse))
+    found = logs.errors(warehouse, size=1)
+    assert [r["id"] for r in dicts(found.rows)] == ["2023-11-05"] and not old(found.rows)
+    assert dicts(found.total) == [{"n": 2}]
+    everything = logs.by_field(warehouse, "source_service", "s", number=1, size=3).rows
+    assert [r["id"] for r in dicts(everything)] == ["2023-10-05"]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import days_back, moment
+from ..functions.layout import how_many
 from ..sources.tables import Tables
 from .paging import Page, page
 
@@ -54,8 +55,13 @@ def search(
 
 
 def errors(tables: Tables, number: int = 0, size: int = 50) -> Page:
-    rows = tables.read("system_logs").filter(F.col("log_level").isin(*ERROR_LEVELS))
-    return page(rows, "log_timestamp", number, size)
+    return _newest_page(tables, F.col("log_level").isin(*ERROR_LEVELS), number, size)
+
+
+def _newest_page(tables: Tables, where: Column, number: int, size: int) -> Page:
+    """A page of all time, newest first, from as many months as it takes; only the total looks at all of them."""
+    rows = tables.newest("system_logs", (number + 1) * size, where)
+    return Page(page(rows, "log_timestamp", number, size).rows, how_many(tables.read("system_logs").filter(where)))
 
 
 def by_correlation(tables: Tables, as_of: datetime, correlation_id: str, number: int = 0, size: int = 50) -> Page:
@@ -66,7 +72,7 @@ def by_correlation(tables: Tables, as_of: datetime, correlation_id: str, number:
 
 def by_field(tables: Tables, column: str, value: str, number: int = 0, size: int = 50) -> Page:
     """Single-field finder, all time."""
-    return page(tables.read("system_logs").filter(F.col(column) == value), "log_timestamp", number, size)
+    return _newest_page(tables, F.col(column) == value, number, size)
 
 
 def level_counts(tables: Tables, as_of: datetime, since: datetime | None = None) -> DataFrame:

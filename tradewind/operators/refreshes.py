@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import days_back, elapsed_ms, moment
 from ..functions.layout import top
+from ..schemas import TABLES
 from ..sources.tables import Tables
 from .rollups import ROLLUPS
 
@@ -16,6 +17,14 @@ from .rollups import ROLLUPS
 STALE_HOURS = 2
 
 
+def folded(log: DataFrame) -> DataFrame:
+    """One row per refresh: its end if it ended, else its start."""
+    key = TABLES["mv_refresh_log"].key
+    rest = [c for c in log.columns if c not in key]
+    ended = F.struct(F.col("refresh_completed_at").isNotNull(), "refresh_completed_at")
+    return log.groupBy(*key).agg(F.max_by(F.struct(*rest), ended).alias("r")).select(*key, "r.*").select(*log.columns)
+
+
 def _duration() -> Column:
     return elapsed_ms("refresh_started_at", "refresh_completed_at")
 

@@ -71,11 +71,11 @@ def recent_activities(tables: Tables, as_of: datetime, n: int = 10) -> DataFrame
         n,
         by="occurred_at",
     )
-    # A user has one row, so cutting to n before the join gives the same rows. At most n ids reach
-    # the semi join, which makes the broadcast bounded and keeps the user table unshuffled.
-    wanted = F.broadcast(newest.select("user_id").distinct())
+    # A user has one row, so cutting to n before the join gives the same rows. Both sides below are at most n
+    # rows, which Spark sees when they are there and joins accordingly.
+    wanted = newest.select("user_id").distinct()
     names = tables.read("dim_users").select("user_id", "username").join(wanted, "user_id", "left_semi")
-    named = newest.join(F.broadcast(names), "user_id", "left")
+    named = newest.join(names, "user_id", "left")
     return named.select("event_type", "user_id", "username", "occurred_at").orderBy(
         *newest_first("occurred_at")
     )
@@ -132,7 +132,7 @@ def trade_volume_by_currency_recent(tables: Tables, as_of: datetime) -> DataFram
 
 
 def recent_trades(tables: Tables, n: int = 10) -> DataFrame:
-    trades = tables.read("fact_trade").select(
+    trades = tables.newest("fact_trade", n).select(
         "order_id", "buyer_id", "seller_id", "quantity", "unit_price", "amount", "currency", "executed_at"
     )
     return top(trades, n, by="executed_at")
@@ -171,7 +171,7 @@ def environmental_impact(tables: Tables, as_of: datetime) -> DataFrame:
 
 
 def recent_issuances(tables: Tables, n: int = 10) -> DataFrame:
-    rows = tables.read("fact_issuance").select(
+    rows = tables.newest("fact_issuance", n).select(
         "issuance_id", "user_id", "quantity_tco2e", "distance_km", "energy_kwh", "co2_avoided_kg", "issued_at"
     )
     return top(rows, n, by="issued_at")

@@ -75,7 +75,7 @@ def event_counts(tables: Tables, as_of: datetime) -> DataFrame:
 
 
 def latest_event(tables: Tables) -> DataFrame:
-    return top(tables.read("consumed_events").select("event_id", "received_at"), 1, by="received_at")
+    return top(tables.newest("consumed_events", 1).select("event_id", "received_at"), 1, by="received_at")
 
 
 def events_per_hour(tables: Tables, as_of: datetime) -> DataFrame:

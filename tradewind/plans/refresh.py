@@ -1,4 +1,8 @@
-"""Jobs that keep stored rollups fresh, and the maintenance jobs, for an outside scheduler to call."""
+"""Jobs that keep stored rollups fresh, and the maintenance jobs.
+
+An outside scheduler calls the refresh jobs, which write the refresh pointer. Jobs on the intake's tables (``purge``, ``apply_retention``,
+``mark_read``, ``compact``) are given to ``intake.start(between=...)``, which runs them between batches, as its pointer has one writer.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from ..operators import maintenance, notifications
 from ..operators.rollups import ROLLUPS, difference
 from ..schemas import RETENTION_MONTHS, TABLES
 from ..sources.tables import Tables
-from ..sources.warehouse import Warehouse
+from ..sources.warehouse import INPUTS, Warehouse
 from ..streaming.intake import utc_now
 
 
@@ -27,15 +31,8 @@ def _log(warehouse: Warehouse, **row: object) -> None:
 
 
 def refresh_log(warehouse: Warehouse) -> DataFrame:
-    """One row per refresh: its end if it ended, else its start."""
-    rows = warehouse.read("mv_refresh_log")
-    rest = [c for c in rows.columns if c not in TABLES["mv_refresh_log"].key]
-    ended = F.struct(F.col("refresh_completed_at").isNotNull(), "refresh_completed_at")
-    return (
-        rows.groupBy(*TABLES["mv_refresh_log"].key)
-        .agg(F.max_by(F.struct(*rest), ended).alias("r"))
-        .select(*TABLES["mv_refresh_log"].key, "r.*")
-    )
+    """One row per refresh."""
+    return warehouse.read("mv_refresh_log")
 
 
 def refresh(
@@ -68,7 +65,7 @@ def refresh(
             refresh_started_at=started,
             refresh_completed_at=clock(),
             status="FAILED",
-            error_message=str(error)[:2000],
+            error_message=str(error),
         )
         return "FAILED"
     _log(
@@ -83,7 +80,7 @@ def refresh(
 
 
 def _refresh_changed_months(warehouse: Warehouse, tx, spec, build) -> None:
-    mark = f"inputs of {spec.name}"
+    mark = f"{INPUTS}{spec.name}"
     now = tx.state.tables.get(spec.fact, {})
     before = tx.state.marks.get(mark, {})
     changed = [m for m in {*now, *before} if now.get(m) != before.get(m)]
@@ -157,14 +154,14 @@ def purge(warehouse: Warehouse, as_of: datetime) -> None:
         "mv_refresh_log": maintenance.old_refresh(as_of),
         "system_notifications": maintenance.expired(as_of),
     }
-    tx = warehouse.begin()
-    for table, drop in gone.items():
+    for table, drop in gone.items():  # of different pointers
+        tx = warehouse.begin()
         folders = warehouse.folders_holding(
             table, tx.state.folders(table), lambda rows, drop=drop: rows.filter(drop)
         )
         if folders:
             tx.replace_folders(table, folders, warehouse.folders_as_table(table, folders).filter(~drop))
-    tx.commit()
+            tx.commit()
 
 
 def apply_retention(warehouse: Warehouse, as_of: datetime) -> dict[str, list[str]]:

@@ -138,13 +138,9 @@ def transaction_metrics(tables: Tables, as_of: datetime, days: int = 30) -> Data
 
 
 def user_metrics(tables: Tables) -> DataFrame:
-    """Users per role and in total, in one scan; the total is the row marked ``is_total``."""
-    per_role = tables.read("dim_users").groupBy("role").agg(count_rows().alias("n"))
-    return (
-        per_role.rollup("role")
-        .agg(F.sum("n").alias("count"), (F.grouping("role") == 1).alias("is_total"))
-        .orderBy(F.desc("is_total"), F.desc("count"), "role")
-    )
+    """Users per role and in total; the total is the row marked ``is_total``, and there without users too."""
+    per_role = tables.read("dim_users").groupBy("role").agg(count_rows().alias("count"))
+    return with_total(per_role, "role", "count").orderBy(F.desc("is_total"), F.desc("count"), "role")
 
 
 def regional_breakdown(tables: Tables, as_of: datetime, days: int = 30) -> DataFrame:
@@ -170,39 +166,35 @@ def regional_breakdown(tables: Tables, as_of: datetime, days: int = 30) -> DataF
 
 
 def event_metrics(tables: Tables, as_of: datetime) -> DataFrame:
-    """Ledger events per type, with the share of the last 24 hours; the total row is marked."""
+    """Ledger events per type, with the share of the last 24 hours; the total row is marked, and there without events too."""
     recent = F.col("received_at") > moment(days_back(as_of, 1))
     per_type = (
         tables.read("consumed_events")
         .groupBy("event_type")
-        .agg(count_rows().alias("n"), F.count_if(recent).alias("n_24h"))
-    )
-    return (
-        per_type.rollup("event_type")
-        .agg(
-            F.sum("n").alias("count"),
-            F.sum("n_24h").alias("count_24h"),
-            (F.grouping("event_type") == 1).alias("is_total"),
-        )
-        .orderBy(F.desc("is_total"), F.desc("count"), "event_type")
+        .agg(count_rows().alias("count"), F.count_if(recent).alias("count_24h"))
     )
+    return with_total(per_type, "event_type", "count", "count_24h").orderBy(F.desc("is_total"), F.desc("count"), "event_type")
+
+
+def with_total(per_kind: DataFrame, kind: str, *counts: str) -> DataFrame:
+    """Rows per kind and one marked row with their sums, which is there (as 0) even if no kind is."""
+    total = per_kind.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
+    one = total.select(F.lit(None).cast("string").alias(kind), *counts, F.lit(True).alias("is_total"))
+    return per_kind.select(kind, *counts, F.lit(False).alias("is_total")).unionAll(one)
 
 
 def activity_metrics(tables: Tables, as_of: datetime) -> DataFrame:
-    """Total and 24-hour activity counts beside the ten commonest types of the last 7 days."""
+    """Total and 24-hour activity counts beside the ten commonest types of the last 7 days; without any, one row
+    with the counts alone."""
     recent = F.count_if(F.col("occurred_at") > moment(days_back(as_of, 1)))
-    totals = tables.read("fact_user_activity").agg(
-        F.struct(count_rows().alias("total"), recent.alias("last_day")).alias("t")
-    )
+    totals = tables.read("fact_user_activity").agg(count_rows().alias("total_activities"), recent.alias("activities_24h"))
     week = tables.read("fact_user_activity", after=days_back(as_of, 7))
     by_type = top(week.groupBy("event_type").agg(count_rows().alias("count")), 10, by="count")
+    # At most ten of them, as one cell beside the totals.
+    types = by_type.agg(F.collect_list(F.struct("event_type", "count")).alias("types"))
     return (
-        by_type.withColumn("t", totals.scalar())
-        .select(
-            "event_type",
-            "count",
-            F.col("t.total").alias("total_activities"),
-            F.col("t.last_day").alias("activities_24h"),
-        )
+        totals.withColumn("types", types.scalar())
+        .select(F.explode_outer("types").alias("t"), "total_activities", "activities_24h")
+        .select("t.event_type", "t.count", "total_activities", "activities_24h")
         .orderBy(F.desc("count"), "event_type")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import first_day_after, moment
@@ -36,6 +36,11 @@ class Tables:
             df = df.filter(F.col(time) >= moment(since))
         return df
 
+    def newest(self, name: str, n: int, where: Column | None = None) -> DataFrame:
+        """Rows that hold the newest ``n`` for which ``where`` holds (rows without a time count as newest). Here: all such rows."""
+        rows = self.read(name)
+        return rows if where is None else rows.filter(where)
+
     def rollup(self, name: str, after: datetime | None = None) -> DataFrame:
         """A daily rollup, days later than ``after``. Here: aggregated from the fact on the fly."""
         spec = rollups.ROLLUPS[name]

@@ -1,9 +1,12 @@
-"""The star schema as Parquet on any Hadoop file system, switched by one small commit file.
+"""The star schema as Parquet on any Hadoop file system, switched by two small pointer files.
 
 Plain Parquet has neither MERGE nor a safe overwrite of what is being read. So data folders are never
 changed: every write goes to a new folder, and a numbered JSON file names the folders that count,
 per table and month. Readers take the newest file; a crash before the switch leaves the old state whole.
-One commit can cover any number of tables, and records how far each stream got.
+
+There are two pointers, each with one writer: the intake's (facts, users, logs, ledger, and how far the stream got) and
+the refresh job's (rollups, what they were made from, the refresh log). A second writer of either fails on
+commit; nothing is rebased or retried. Jobs on the intake's tables run between its batches.
 """
 
 from __future__ import annotations
@@ -13,17 +16,27 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clock import month_column, month_of
+from ..operators.refreshes import folded
+from ..operators.rollups import ROLLUPS
 from ..schemas import TABLES, conform
 from .tables import Tables
 
 UNDATED = "all"
-COMMITS = "_commits"
+POINTERS = "_commits"
+INTAKE, REFRESH = "intake", "refresh"
+INPUTS = "inputs of "  # begins the marks of the refresh job
+REFRESH_TABLES = {*ROLLUPS, "mv_refresh_log"}
+
+# A report may read a folder this long after it was replaced; vacuum refuses anything shorter than the least.
+KEEP = timedelta(days=1)
+LEAST_KEEP = timedelta(hours=1)
 
 
 class ConflictError(RuntimeError):
@@ -64,6 +77,13 @@ class Files:
         fs, p = self._fs(path), self._path(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def older(self, path: str, than: datetime) -> list[str]:
+        """Names of what was last changed before a moment (UTC)."""
+        fs, p = self._fs(path), self._path(path)
+        limit = than.replace(tzinfo=UTC).timestamp() * 1000
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in found if s.getModificationTime() < limit)
+
     def read(self, path: str) -> str:
         stream = self._fs(path).open(self._path(path))
         try:
@@ -102,12 +122,17 @@ class Files:
 
 @dataclass
 class State:
-    """One commit: table -> month -> folders, plus free-form marks (stream progress, rollup inputs)."""
+    """What both pointers say: table -> month -> folders, plus free-form marks (stream progress, rollup inputs)."""
 
-    number: int = 0
+    numbers: dict[str, int] = field(default_factory=dict)
     tables: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     marks: dict[str, object] = field(default_factory=dict)
 
+    @property
+    def number(self) -> int:
+        """Commits so far."""
+        return sum(self.numbers.values())
+
     def copy(self) -> State:
         return State(**json.loads(json.dumps(vars(self))))
 
@@ -124,27 +149,57 @@ class Warehouse(Tables):
 
     # -- reading
 
+    def pointers(self, owner: str) -> list[str]:
+        names = self.files.names(f"{self.root}/{POINTERS}/{owner}")
+        return [n for n in names if n.endswith(".json") and n[0] != "."]
+
     def state(self) -> State:
-        numbers = [n for n in self.files.names(f"{self.root}/{COMMITS}") if n.endswith(".json") and n[0] != "."]
-        if not numbers:
-            return State()
-        return State(**json.loads(self.files.read(f"{self.root}/{COMMITS}/{numbers[-1]}")))
+        state = State()
+        for owner in (INTAKE, REFRESH):
+            if names := self.pointers(owner):
+                one = json.loads(self.files.read(f"{self.root}/{POINTERS}/{owner}/{names[-1]}"))
+                state.numbers[owner] = one["number"]
+                state.tables.update(one["tables"])
+                state.marks.update(one["marks"])
+        return state
 
     def load(self, name: str, floor: datetime | None = None, state: State | None = None) -> DataFrame:
         """Only the folders of months that can hold rows from ``floor`` on are listed and read."""
         first = month_of(floor) if floor is not None and TABLES[name].time else None
-        return self.folders_as_table(name, (state or self.state()).folders(name, first))
+        rows = self.folders_as_table(name, (state or self.state()).folders(name, first))
+        return folded(rows) if name == "mv_refresh_log" else rows
 
     def folders_as_table(self, name: str, folders: list[str]) -> DataFrame:
-        schema = TABLES[name].schema
+        """Rows as they are stored, in today's layout: a column that was renamed since is read under its old name too."""
+        spec = TABLES[name]
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in folders))
+            return self.spark.createDataFrame([], spec.schema)
+        paths = [f"{self.root}/{f}" for f in folders]
+        if not spec.renames:
+            return self.spark.read.schema(spec.schema).parquet(*paths)
+        both = T.StructType([*spec.schema.fields, *(T.StructField(old, spec.schema[new].dataType) for old, new in spec.renames.items())])
+        rows = self.spark.read.schema(both).parquet(*paths)
+        return rows.select(*(F.coalesce(f.name, *(old for old, new in spec.renames.items() if new == f.name)).alias(f.name) for f in spec.schema.fields))
 
     def rollup(self, name: str, after: datetime | None = None) -> DataFrame:
         """The stored rollup as of its last refresh."""
         return self.read(name, after=after)
 
+    def newest(self, name: str, n: int, where: Column | None = None) -> DataFrame:
+        """Month by month from the newest on, until ``n`` rows are found; older folders are not listed or read."""
+        months = dict(self.state().tables.get(name, {}))
+        folders, found = [], 0
+        for month in [UNDATED, *sorted(months.keys() - {UNDATED}, reverse=True)]:
+            if found >= n:
+                break
+            here = months.get(month, [])
+            if here:
+                rows = self.folders_as_table(name, here)
+                found += (rows if where is None else rows.filter(where)).limit(n).count()
+                folders += here
+        rows = self.folders_as_table(name, folders)
+        return rows if where is None else rows.filter(where)
+
     def folders_holding(self, name: str, folders: list[str], choose: Callable[[DataFrame], DataFrame]) -> list[str]:
         """Which of the folders hold rows that ``choose`` (a filter or semi join) keeps.
 
@@ -161,27 +216,32 @@ class Warehouse(Tables):
     def begin(self) -> Transaction:
         return Transaction(self)
 
-    def unused_folders(self, keep: int = 20) -> list[str]:
-        """Data folders that none of the last ``keep`` commits names."""
-        commits = [n for n in self.files.names(f"{self.root}/{COMMITS}") if n.endswith(".json") and n[0] != "."]
+    def vacuum(self, now: datetime, keep: timedelta = KEEP) -> int:
+        """Delete pointers but the newest, and folders no pointer left names, if they are older than ``keep``.
+
+        By age, so what a running report or an unfinished write may need stays, however many commits there were. The number of folders deleted.
+        """
+        if keep < LEAST_KEEP:
+            raise ValueError(f"keep at least {LEAST_KEEP}")
+        before = now - keep
         used: set[str] = set()
-        for name in commits[-keep:]:
-            state = State(**json.loads(self.files.read(f"{self.root}/{COMMITS}/{name}")))
-            for table in state.tables:
-                used.update("/".join(f.split("/")[:2]) for f in state.folders(table))
-        found = [f"{t}/{w}" for t in TABLES for w in self.files.names(f"{self.root}/{t}")]
-        return [f for f in found if f not in used]
-
-    def vacuum(self, keep: int = 20) -> int:
-        """Delete folders no recent commit names. Not while a writer is busy: its folders are not named yet."""
-        unused = self.unused_folders(keep)
-        for folder in unused:
+        for owner in (INTAKE, REFRESH):
+            home, names = f"{self.root}/{POINTERS}/{owner}", self.pointers(owner)
+            old = set(self.files.older(home, before))
+            for name in names[:-1]:
+                if name in old:
+                    self.files.drop(f"{home}/{name}")
+            for name in self.pointers(owner):
+                tables = json.loads(self.files.read(f"{home}/{name}"))["tables"]
+                used.update("/".join(f.split("/")[:2]) for months in tables.values() for fs in months.values() for f in fs)
+        gone = [f"{t}/{w}" for t in TABLES for w in self.files.older(f"{self.root}/{t}", before) if f"{t}/{w}" not in used]
+        for folder in gone:
             self.files.drop(f"{self.root}/{folder}")
-        return len(unused)
+        return len(gone)
 
 
 class Transaction:
-    """Writes that become visible together."""
+    """Writes to the tables of one pointer that become visible together. Begin it before anything is read that decides what is written."""
 
     def __init__(self, warehouse: Warehouse):
         self.warehouse = warehouse
@@ -231,6 +291,8 @@ class Transaction:
     def replace_folders(self, table: str, folders: list[str], df: DataFrame) -> None:
         """Put ``df`` in place of single folders, leaving the rest of their months alone."""
         gone = set(folders)
+        if missing := gone - set(self.state.folders(table)):
+            raise ConflictError(f"{table}: {sorted(missing)} are not in the table")
         self.use(table, {m: [f for f in fs if f not in gone] for m, fs in self.months(table).items()})
         self.append(table, df)
 
@@ -247,35 +309,20 @@ class Transaction:
     def mark(self, name: str, value: object) -> None:
         self.state.marks[name] = value
 
-    def commit(self, tries: int = 10) -> int:
-        """Make the writes visible, on top of commits others made meanwhile to other tables.
-
-        Fails with ConflictError if one of them changed a table or mark this transaction changes too.
-        """
-        files, home = self.warehouse.files, f"{self.warehouse.root}/{COMMITS}"
+    def commit(self) -> int:
+        """Make the writes visible. Fails with ConflictError if the pointer has moved since the transaction began."""
+        changed = [t for t in self.state.tables if self.state.tables[t] != self.base.tables.get(t)]
+        owners = {REFRESH if t in REFRESH_TABLES else INTAKE for t in changed}
+        if len(owners) > 1:
+            raise ValueError(f"{changed} belong to different pointers")
+        owner = owners.pop() if owners else INTAKE
+        number = self.base.numbers.get(owner, 0) + 1
+        own = [t for t in self.state.tables if (t in REFRESH_TABLES) == (owner == REFRESH)]
+        marks = {m: v for m, v in self.state.marks.items() if m.startswith(INPUTS) == (owner == REFRESH)}
+        files, home = self.warehouse.files, f"{self.warehouse.root}/{POINTERS}/{owner}"
         files.make(home)
-        for _ in range(tries):
-            latest = self.warehouse.state()
-            result = self._onto(latest)
-            result.number = latest.number + 1
-            try:
-                files.put_new(f"{home}/{result.number:012d}.json", json.dumps(vars(result)))
-            except ConflictError:
-                continue
-            self.base, self.state = result, result.copy()
-            return result.number
-        raise ConflictError(f"{home}: gave up after {tries} tries")
-
-    def _onto(self, latest: State) -> State:
-        result = latest.copy()
-        for mine, base, theirs, target in (
-            (self.state.tables, self.base.tables, latest.tables, result.tables),
-            (self.state.marks, self.base.marks, latest.marks, result.marks),
-        ):
-            for name in mine:
-                if mine[name] == base.get(name):
-                    continue
-                if theirs.get(name) != base.get(name):
-                    raise ConflictError(f"{name} was changed by another writer")
-                target[name] = mine[name]
-        return result
+        content = {"number": number, "tables": {t: self.state.tables[t] for t in own}, "marks": marks}
+        files.put_new(f"{home}/{number:012d}.json", json.dumps(content))
+        self.state.numbers[owner] = number
+        self.base = self.state.copy()
+        return number

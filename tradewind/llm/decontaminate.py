@@ -3,8 +3,8 @@
 An item leaks into a document that holds a passage within ``share * length`` edits (insertions, deletions, substitutions of
 characters; ASCII letters in either case and any white space agree). Windows of a document start at every character.
 
-1. A window can only be that near if it shares enough q-grams with the items (one edit spoils q of them); others are
-   not looked at further. This bound loses nothing.
+1. A window can only be that near an item if it shares enough q-grams with it (one edit spoils q of them), each at most as many
+   places off as there are edits. Places where no item has that many are not looked at further. This bound loses nothing.
 2. The CGK walk maps a window to a sequence of characters: step j writes the character at the pointer and, by a random bit
    of (j, character), moves the pointer on or not. Few edits then cost few positions (Hamming distance), as two
    walks that were thrown apart meet again. The walk of a start serves items of all lengths, each up to its own end.
@@ -18,14 +18,12 @@ tasks in blocks of at most ``BLOCK_ITEMS`` rows and ``BLOCK_ITEM_CHARS`` charact
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +39,10 @@ STARTS_AT_ONCE = 100_000
 FOUND = "doc_id long, item_id long, edits int, start long, end long"
 
 _BITS = 21
-_SPACES = np.array([9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
+_SPACES = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]
+_EVEN = np.arange(0x110000, dtype=np.uint32)
+_EVEN[65:91] += 32
+_EVEN[_SPACES] = 32
 
 
 def recall(walks: int = WALKS, tables: int = TABLES, sampled: int = SAMPLED, agree: float = AGREE) -> float:
@@ -51,10 +52,7 @@ def recall(walks: int = WALKS, tables: int = TABLES, sampled: int = SAMPLED, agr
 
 def symbols(text: str) -> np.ndarray:
     """Code points, a character each, case and kind of white space evened out."""
-    out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    out[(out >= 65) & (out <= 90)] += 32
-    out[np.isin(out, _SPACES)] = 32
-    return out
+    return _EVEN[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def grams(x: np.ndarray, q: int) -> np.ndarray:
@@ -70,7 +68,7 @@ def grams(x: np.ndarray, q: int) -> np.ndarray:
         if bits:
             power = (power ^ (power >> np.uint32(13))) * np.uint32(0x27D4EB2F) + _shifted(power, width) * np.uint32(0x165667B1)
             width *= 2
-    return (out ^ (out >> np.uint32(16))) * np.uint32(0x7FEB352D) >> np.uint32(32 - _BITS)
+    return (out ^ (out >> np.uint32(16))) * np.uint32(0x7FEB352D)
 
 
 def _shifted(x: np.ndarray, by: int) -> np.ndarray:
@@ -91,18 +89,9 @@ class Group:
     """Items of like length."""
 
     shortest: int
-    longest: int
-    q: int
-    least: int  # shared q-grams of any of them
-    share: float
-    known: np.ndarray = field(default_factory=lambda: np.zeros(1 << _BITS, bool))  # q-grams of the items, by hash
     taps: np.ndarray | None = None  # walk, table, sampled: steps
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by walk and table: sorted keys, their items
 
-    @property
-    def reach(self) -> int:
-        return self.longest + int(self.share * self.longest)
-
 
 class Items:
     """What tasks need of a block of items."""
@@ -111,24 +100,33 @@ class Items:
         self.share, self.walks = share, walks
         self.ids = [i for i, t in rows if t]
         self.texts = [symbols(t) for _, t in rows if t]
-        self.by_gram = [None] * len(self.texts)
         self.patterns: dict[int, dict[int, int]] = {}
         rng = np.random.default_rng(11)
         self.odd = rng.integers(0, 2**31, 64, np.uint32) * np.uint32(2) + np.uint32(1)
         self.groups: list[Group] = []
-        place: dict[tuple[int, int], Group] = {}
+        place: dict[int, Group] = {}
         members: dict[int, list[int]] = defaultdict(list)
+        postings: dict[int, list[np.ndarray]] = defaultdict(list)  # by q: hash, item, place
+        self.bounds = np.zeros((len(self.texts), 2), np.int64)  # edits, shared q-grams
         for k, x in enumerate(self.texts):
             q, least = gram_bound(len(x), share)
-            key = (int(np.log(len(x)) / np.log(1.25)), q)
+            self.bounds[k] = int(share * len(x)), least
+            h = grams(x, q)[: len(x) - q + 1]
+            postings[q].append(np.stack([h.astype(np.int64), np.full(len(h), k), np.arange(len(h))]))
+            key = int(np.log(len(x)) / np.log(1.25))
             if key not in place:
-                place[key] = Group(len(x), len(x), q, least, share)
+                place[key] = Group(len(x))
                 self.groups.append(place[key])
             g = place[key]
-            g.shortest, g.longest, g.least = min(g.shortest, len(x)), max(g.longest, len(x)), min(g.least, least)
-            self.by_gram[k] = np.unique(grams(x, q)[: len(x) - q + 1])
-            g.known[self.by_gram[k]] = True
+            g.shortest = min(g.shortest, len(x))
             members[id(g)].append(k)
+        self.group_of = {k: n for n, g in enumerate(self.groups) for k in members[id(g)]}
+        self.postings = {}
+        for q, parts in postings.items():
+            hash_, item, offset = (c[np.argsort(np.concatenate(parts, axis=1)[0], kind="stable")] for c in np.concatenate(parts, axis=1))
+            known = np.zeros(1 << _BITS, bool)
+            known[hash_ >> (32 - _BITS)] = True
+            self.postings[q] = known, hash_.astype(np.uint32), item, offset
         for g in self.groups:
             # The pointer moves on at every other step, so the item lasts for about twice its length.
             last = max(2, int(1.7 * g.shortest))
@@ -205,38 +203,38 @@ class Items:
             slack = int(self.share * m) + 1
             for lo, hi in _runs(sorted(set(at)), m):
                 lo, hi = max(a, lo - slack), min(b, hi + m + slack)
-                if self.near(x[lo:hi], k) and (hit := self.verify(x[lo:hi], k)) and (best is None or hit[0] < best[0]):
+                if (hit := self.verify(x[lo:hi], k)) and (best is None or hit[0] < best[0]):
                     best = (hit[0], lo + hit[1] - a, lo + hit[2] - a)
             if best:
                 out.append((n, k, *best))
         return out
 
     def windows(self, x: np.ndarray) -> list[tuple[Group, np.ndarray]]:
-        """By group, the starts of windows that share enough q-grams with its items."""
-        out, hits = [], {}
-        for q in {g.q for g in self.groups}:
-            hits[q] = grams(x, q)
-        everywhere = {}
-        for q, h in hits.items():  # all groups of a q at once first: most texts end here
-            mine = [g for g in self.groups if g.q == q]
-            any_ = np.logical_or.reduce([g.known for g in mine])
-            everywhere[q] = _window_sums(any_[h], max(g.reach for g in mine)) >= min(g.least for g in mine)
-        for g in self.groups:
-            at = np.flatnonzero(everywhere[g.q])
-            if len(at):
-                # Only stretches around these are looked at, each with the reach of the longest window.
-                low, high = _stretches(at, max(o.reach for o in self.groups), len(x))
-                found = [a + np.flatnonzero(_window_sums(g.known[hits[g.q][a:b]], g.reach) >= g.least) for a, b in zip(low, high)]
-                at = np.unique(np.concatenate(found)) if found else at[:0]
-            out.append((g, at))
-        return out
-
-    def near(self, x: np.ndarray, k: int) -> bool:
-        """The bound of step 1, for one item."""
-        q, least = gram_bound(len(self.texts[k]), self.share)
-        if len(x) < q:
-            return False
-        return int(np.isin(grams(x, q)[: len(x) - q + 1], self.by_gram[k]).sum()) >= least
+        """By group, the starts at which an item of it may lie by the bound of step 1."""
+        starts: list[list[np.ndarray]] = [[] for _ in self.groups]
+        for q, (known, hashes, item, offset) in self.postings.items():
+            h = grams(x, q)
+            at = np.flatnonzero(known[h >> np.uint32(32 - _BITS)])
+            first, end = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            times = end - first
+            entry = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+            k, diagonal = item[entry], np.repeat(at, times) - offset[entry]
+            order = np.argsort(k * (2 * len(x) + 2**21) + diagonal + 2**20, kind="stable")
+            k, diagonal = k[order], diagonal[order]
+            edits, least = self.bounds[k].T
+            # Enough q-grams on so few diagonals that one start is within ``edits`` of all of them.
+            j = np.arange(len(k)) + least - 1
+            inside = j < len(k)
+            j = np.minimum(j, max(0, len(k) - 1))
+            hit = np.flatnonzero(inside & (k[j] == k) & (diagonal[j] - diagonal <= 2 * edits))
+            low, high = diagonal[j[hit]] - edits[hit], diagonal[hit] + edits[hit]
+            wide = high - low + 1
+            one = np.repeat(low - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+            group = np.repeat(np.array([self.group_of[n] for n in k[hit].tolist()], np.int64), wide)
+            for n in range(len(self.groups)):
+                starts[n].append(one[group == n])
+        found = [np.unique(np.concatenate([*s, np.empty(0, np.int64)])) for s in starts]
+        return [(g, s[(s >= 0) & (s < len(x))]) for g, s in zip(self.groups, found)]
 
     def verify(self, x: np.ndarray, k: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the nearest passage in x, if it is near enough; the first of equally near ones."""
@@ -257,20 +255,6 @@ class Items:
         return self.patterns[k]
 
 
-def _window_sums(hit: np.ndarray, width: int) -> np.ndarray:
-    """Number of hits in the window from each position on."""
-    sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-    n = len(hit)
-    ends = np.minimum(np.arange(n) + width, n)
-    return sums[ends] - sums[:-1]
-
-
-def _stretches(at: np.ndarray, reach: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.diff(at) > reach)
-    low, high = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-    return low, np.minimum(high + 2 * reach, n)
-
-
 def _runs(at: list[int], reach: int) -> list[tuple[int, int]]:
     out = [[at[0], at[0]]]
     for a in at[1:]:

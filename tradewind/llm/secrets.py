@@ -114,12 +114,11 @@ def two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
 
 
-def uniformity(counts_squared: Column, n: Column, size: int, repeat: float) -> Column:
+def uniformity(counts_squared: Column, n: Column, size: Column, repeat: Column) -> Column:
     """Share of structured names of that length whose chi-squared is as small."""
     chi = counts_squared * size / n - n
-    centre = F.greatest(n * (size * repeat - 1), F.lit(0.0)) + (size - 1)
-    spread = F.sqrt(2 * (size - 1) + 4 * F.greatest(n * (size * repeat - 1), F.lit(0.0)))
-    return upper_tail((centre - chi) / spread)
+    excess = F.greatest(n * (size * repeat - 1), F.lit(0.0))
+    return upper_tail((excess + size - 1 - chi) / F.sqrt(2 * (size - 1) + 4 * excess))
 
 
 def runs_test(high: Column, n: Column) -> Column:
@@ -151,26 +150,31 @@ def serial_test(values: Column, n: Column) -> Column:
 
 def battery(run: Column) -> Column:
     """p-value of a run."""
-    body = F.regexp_replace(run, "=+$", "")
-
-    def of(symbols: str, repeat: float) -> Column:
-        size = len(symbols)
-        text = F.lower(body) if size == 16 else body
-
-        def on(values: Column) -> Column:
-            n = F.size(values).cast("double")
-            squares = total(F.transform(F.array_distinct(values), lambda v: F.pow(total(F.transform(values, lambda w: (w == v).cast("double"))), F.lit(2.0))))
-            random = F.greatest(runs_test(F.transform(values, lambda v: v >= size / 2), n), F.lit(1e-300)) * F.greatest(serial_test(values, n), F.lit(1e-300))
-            fisher = random * (1 - F.log(random))  # chi-squared with four degrees of freedom, closed form
-            return F.when(fisher >= RANDOM_AT, uniformity(squares, n, size, repeat)).otherwise(F.lit(1.0))
-
-        numbers = F.transform(F.split(text, ""), lambda c: (F.position(c, F.lit(symbols)) - 1).cast("double"))
-        return let(numbers, on)
-
-    p = None
-    for pattern, symbols, repeat in ENCODINGS:
-        p = (F.when if p is None else p.when)(run.rlike(pattern), of(symbols, repeat))
-    return p.otherwise(of(*OTHER))
+
+    def pick(values: list) -> Column:
+        out = None
+        for (pattern, *_), value in zip(ENCODINGS, values):
+            out = (F.when if out is None else out.when)(run.rlike(pattern), F.lit(value))
+        return out.otherwise(F.lit(values[-1]))
+
+    def on(encoding: Column) -> Column:
+        symbols = encoding["symbols"]
+        body = F.regexp_replace(run, "=+$", "")
+        body = F.when(F.length(symbols) == 16, F.lower(body)).otherwise(body)
+        numbers = F.transform(F.split(body, ""), lambda c: (F.position(c, symbols) - 1).cast("double"))
+        return let(F.struct(numbers.alias("values"), F.length(symbols).cast("double").alias("size"), encoding["repeat"].alias("repeat")), _tests)
+
+    symbols, repeat = pick([e[1] for e in ENCODINGS] + [OTHER[0]]), pick([e[2] for e in ENCODINGS] + [OTHER[1]])
+    return let(F.struct(symbols.alias("symbols"), repeat.alias("repeat")), on)
+
+
+def _tests(given: Column) -> Column:
+    values, size = given["values"], given["size"]
+    n = F.size(values).cast("double")
+    squares = total(F.transform(F.array_distinct(values), lambda v: F.pow(total(F.transform(values, lambda w: (w == v).cast("double"))), F.lit(2.0))))
+    random = F.greatest(runs_test(F.transform(values, lambda v: v >= size / 2), n), F.lit(1e-300)) * F.greatest(serial_test(values, n), F.lit(1e-300))
+    fisher = random * (1 - F.log(random))  # chi-squared with four degrees of freedom, closed form
+    return F.when(fisher >= RANDOM_AT, uniformity(squares, n, size, given["repeat"])).otherwise(F.lit(1.0))
 
 
 def band(length: Column) -> Column:

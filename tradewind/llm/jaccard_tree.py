@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.graph import components
-from tradewind.llm.shared import bucket_count, by_bucket, few, per_bucket, stored
+from tradewind.llm.graph import components, contracted
+from tradewind.llm.shared import bucket_count, by_bucket, few, give_back, per_bucket, stored
 from tradewind.llm.words import blocks, shingles
 
 WORDS = 5
@@ -161,6 +161,8 @@ def by_block(rows: DataFrame, sort: list[str], work, schema: str) -> DataFrame:
                 held.append(some)
         if held:
             yield from work(int(held[0]["block"].iloc[0]), pd.concat(held))
+        held = []
+        give_back()
 
     return rows.repartition("block").sortWithinPartitions("block", *sort).mapInPandas(run, schema)
 
@@ -237,7 +239,8 @@ def _stars(key: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[pd.Data
     first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     least = owner[first][np.cumsum(first) - 1]
     edges = np.unique(np.stack([owner, least], axis=1)[owner != least], axis=0)
-    yield pd.DataFrame({"bucket": pd.array([None] * len(edges), "Int32"), "blob": [None] * len(edges), "a": pd.array(edges[:, 0], "Int64"), "b": pd.array(edges[:, 1], "Int64")})
+    a, b = contracted(edges[:, 0], edges[:, 1])
+    yield pd.DataFrame({"bucket": pd.array([None] * len(a), "Int32"), "blob": [None] * len(a), "a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
     if buckets:
         key, owner = key[first], owner[first]
         out = [(b, key[at].tobytes() + owner[at].astype("<i8").tobytes()) for b, at in by_bucket(_bucket(key, buckets), buckets)]
@@ -371,6 +374,8 @@ def linked(rows: DataFrame) -> DataFrame:
                 held.append(row[3:])
         if len(held) > 1:
             yield _links(held)
+        held = []
+        give_back()
 
     return rows.select(*task, "side", "label", "number", "shingles").repartition(*task).sortWithinPartitions(*task, "side", "number").mapInPandas(run, "a long, b long")
 
@@ -378,7 +383,9 @@ def linked(rows: DataFrame) -> DataFrame:
 def _links(held: list[tuple]) -> pd.DataFrame:
     sides, labels, numbers, raw = zip(*held)
     found = tree_links([np.frombuffer(r, "<u8") for r in raw], list(sides), list(labels))
-    return pd.DataFrame([(numbers[i], numbers[j]) for i, j in found], columns=["a", "b"], dtype="int64")
+    ends, number = np.array(found, np.int64).reshape(-1, 2), np.array(numbers, np.int64)
+    a, b = contracted(number[ends[:, 0]], number[ends[:, 1]])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -387,7 +394,7 @@ def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, folder: str) -> DataFrame:
-    """(a, b): pairs of nodes that link, enough of them to join every group."""
+    """(a, b): pairs of nodes of one group, enough of them to join every group."""
     candidates = stored(components(prefixes(nodes, folder), f"{folder}/candidates"), f"{folder}/candidates-found")
     amounts = stored(candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks")), f"{folder}/candidates-sizes")
     placed = candidates.join(amounts, "component").withColumnRenamed("node", "number")

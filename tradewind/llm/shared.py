@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,15 @@ def one_file_each(files: DataFrame, by: str) -> DataFrame:
     return files.repartitionByRange(n, by)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers live on between tasks, and an executor may hold idle ones beside those at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the GNU C library
+
+
 # ---- packed arrays: one row holds many numbers, so a shuffle moves bytes instead of rows ----------------------
 
 
@@ -87,6 +98,8 @@ def per_bucket(packed: DataFrame, merge: Callable[[int, list[bytes]], Iterator[p
                 held.append((b, blob))
         if held:
             yield from merge(held[0][0], [x for _, x in held])
+        held = []
+        give_back()
 
     return packed.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
 

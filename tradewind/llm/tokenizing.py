@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tradewind.llm.shared import give_back
+
 # Distinct pieces kept per Python worker; then the table starts anew. Bounds memory, not results.
 CACHE_WORDS = 1_000_000
 # Characters encoded at a time, or one text.
@@ -124,6 +126,8 @@ class Encoder:
                 ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
             yield at, ids, sizes
             at = end
+            del ids, sizes, some
+            give_back()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tradewind.llm.shared import give_back
+
 BLOCK_CHARS = 6_000_000
 
 
@@ -21,6 +23,7 @@ def blocks(texts: pa.Array, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, pa.
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars, "right")))
         yield at, texts.slice(at, to - at)
         at = to
+        give_back()
 
 
 def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

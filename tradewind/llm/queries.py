@@ -94,6 +94,24 @@ def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_tree.groups(spark, table(spark, sf_dir, "documents"), shared_folder(spark, "jaccard"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.c + ny.c - i)),
+r AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
+SELECT r.doc_id, coalesce(any_value(n.c), 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,4 +140,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """No SQL: tokenizer ids and the packing of them (2, 9), learned scores (3, 5), edit distances (7), test batteries (8) and
     repeated byte strings over all texts (6); ``tests/llm`` has brute-force versions of these."""
-    return {"op1_arc_to_warc": OP1_SQL, "op4_exact_top_k": OP4_SQL}
+    return {"op1_arc_to_warc": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op10_jaccard_groups": OP10_SQL}

@@ -11,8 +11,8 @@ The sample: of either class, the ``per_class`` labelled rows with the smallest h
 bounds the model whatever the size of the corpus; every document is scored over its whole text.
 
 Null and empty texts have no terms: they score the share of label 1. So do all documents if no label can be used (0.5 if there is none).
-Null doc_ids are scored and not held out. Labels that are null or not 0 or 1 are not used; a repeated label counts as often as
-it stands there. Repeated rows are scored each. Only doc_id, text and quality are read.
+Null doc_ids are scored and not held out. Labels that are null or not 0 or 1 are not used; a repeated label counts once, and so does
+a document that is there several times (with its smallest text). Repeated rows are scored each. Only doc_id, text and quality are read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.shared import crc32_mod5
+from tradewind.llm.shared import crc32_mod5, give_back
 
 PER_CLASS = 2_000
 DIMS = 48
@@ -66,6 +66,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         joined = "".join(texts.slice(at, to - at).to_pylist()).encode()
         yield at, np.frombuffer(joined, np.uint8), size[at:to] - before
         at = to
+        give_back()
 
 
 def weights(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -164,6 +165,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
             used, values = zip(*rows) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(used, pa.binary()), pa.array(values, pa.binary())], ["quality", "used", "weights"])
 
+    # One text a picked id, however often the id stands among the documents.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = texts.select("text", "quality").mapInArrow(terms, "quality int, used binary, weights binary").collect()
     found.sort(key=lambda r: (r["quality"], r["used"], r["weights"]))
     quality = np.array([r["quality"] for r in found], np.float64)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.shared import stored
+from tradewind.llm.shared import few, stored
 from tradewind.llm.tokenizing import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, place long"
@@ -185,7 +185,8 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, cap
                 offset[at] = offset0[k] + inside % per_bin[k] * n
             yield p.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    ranked = cut.join(ranks, ["part", "length"]).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids", (F.col("place") + F.col("before")).alias("rank"))
+    # At most ``capacity`` rows a task: small beside the pieces, which are only shuffled where it is too large to be sent to all.
+    ranked = cut.join(few(ranks), ["part", "length"]).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids", (F.col("place") + F.col("before")).alias("rank"))
     return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 

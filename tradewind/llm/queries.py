@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm import archives, decontaminate, jaccard_tree, knn_quality, ngram_trie, packing, secrets, suffix_groups, token_files, va_search
-from tradewind.llm.shared import shared_folder
+from tradewind.llm.shared import importable, shared_folder
 from tradewind.llm.tokenizing import default_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -115,6 +116,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
+    importable(spark)
     return corpus_pipeline.run(spark, sf_dir)
 
 

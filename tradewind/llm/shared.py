@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver has it, whatever folder the driver was started in. Where executors do not have that
+    path, the package comes with ``--py-files``."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder's URI and the path in it."""
     return pafs.FileSystem.from_uri(uri)

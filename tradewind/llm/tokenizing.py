@@ -3,7 +3,8 @@
 The byte-level vocabulary cuts a text into words before it merges, and always cuts before a single space between
 two other characters and before a single line break. So a text may be cut there, every distinct piece be encoded by the
 library once, and the ids be joined: the result is that of encoding the whole text. A text with other white
-space is cut only where that still holds. ``tests/llm/test_tokenizing.py`` compares both ways.
+space is cut only where that still holds, and its pieces with white space inside or at the end are encoded one by
+one. ``tests/llm/test_tokenizing.py`` compares both ways.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BLOCK_CHARS = 6_000_000
 # White space that is neither one space nor one line break between other characters.
 _ODD_SPACE = r"\n[ \n]| [ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = re.compile(r"\s")
 _MARKED = re.compile(r"([^\W\d_]+)([.,;:!?|&#$%*]+)")
 
 
@@ -44,13 +46,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _each(self, lines: list[str]) -> list[bytes]:
-        """Ids of texts without line breaks. They go to the library joined by line breaks, at whose ids the result is cut."""
+        """Ids of texts without white space but one space before them. They go to the library joined by line breaks, at whose ids
+        the result is cut: no text merges with a line break or has one."""
         out: list[bytes] = []
         for at in range(0, len(lines), 5_000):
             some = lines[at : at + 5_000]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == int.from_bytes(self.line_break, "little"))
-            if len(ends) != len(some) - 1:  # one of them merges with a line break
+            if len(ends) != len(some) - 1:  # a vocabulary that merges others with a line break
                 out += [self._whole(t) for t in some]
                 continue
             raw, starts = ids.tobytes(), [0, *(ends + 1).tolist()]
@@ -104,10 +107,9 @@ class Encoder:
 
     def _careful(self, text: str) -> bytes:
         parts = _SAFE_CUT.split(text)
-        if any(p[0] == "\n" for p in parts[1:]):
-            return self._whole(text)
-        self._learn(parts[1:])
-        return self._whole(parts[0]) + b"".join(self.known[p] for p in parts[1:])
+        spaced = {p for p in parts[1:] if _SPACE.search(p)}
+        self._learn([p for p in parts[1:] if p not in spaced])
+        return self._whole(parts[0]) + b"".join(self._whole(" " + p) if p in spaced else self.known[p] for p in parts[1:])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row of the first text, its and the following texts' ids joined, number of ids of each), in blocks. Null texts have no ids."""

@@ -42,3 +42,9 @@ def test_random_white_space_by_one_worker():
         ids.append(some), sizes.append(n)
     parts = np.split(np.concatenate(ids), np.cumsum(np.concatenate(sizes))[:-1])
     assert [p.tolist() for p in parts] == by_library(texts)
+
+
+def test_literals_of_added_tokens():
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c\n<|endoftext|>\nd", "x\t<|endoftext|>  <|endoftext|", "<| endoftext|> <|endoftext|>.", "x y"]
+    assert by_worker(texts) == by_library(texts)
+    assert by_worker(texts[:1]) == [[87, 220, 50256, 331]]

@@ -4,7 +4,8 @@ The byte-level vocabulary cuts a text into words before it merges, and always cu
 two other characters and before a single line break. So a text may be cut there, every distinct piece be encoded by the
 library once, and the ids be joined: the result is that of encoding the whole text. A text with other white
 space is cut only where that still holds, and its pieces with white space inside or at the end are encoded one by
-one. ``tests/llm/test_tokenizing.py`` compares both ways.
+one. A text that has the literal of an added token goes to the library whole. ``tests/llm/test_tokenizing.py`` compares
+both ways.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_break = self._whole("\n")
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -106,6 +107,8 @@ class Encoder:
         return ids[keep], np.diff(bounds) - 1
 
     def _careful(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self._whole(text)
         parts = _SAFE_CUT.split(text)
         spaced = {p for p in parts[1:] if _SPACE.search(p)}
         self._learn([p for p in parts[1:] if p not in spaced])
@@ -119,7 +122,10 @@ class Encoder:
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BLOCK_CHARS, "right")))
             some = texts.slice(at, end - at)
-            odd = pc.match_substring_regex(some, _ODD_SPACE).to_numpy(zero_copy_only=False)
+            odd = pc.match_substring_regex(some, _ODD_SPACE)
+            for t in self.added:
+                odd = pc.or_(odd, pc.match_substring(some, t))
+            odd = odd.to_numpy(zero_copy_only=False)
             ids, sizes = self._cut(pc.if_else(pa.array(odd), "", some) if odd.any() else some)
             if odd.any():
                 parts = np.split(ids, np.cumsum(sizes)[:-1])

@@ -92,3 +92,18 @@ def test_awkward_rows(spark, monkeypatch, block):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(i) for i, _ in rows if i not in leaked)
     assert decontaminate.leaks(spark, cases.documents(spark, rows), benchmark.limit(0)).collect() == []
     assert decontaminate.leaks(spark, cases.documents(spark, []), benchmark).collect() == []
+
+
+@pytest.mark.parametrize("length", [80, 400, 1_500, 4_000])
+@pytest.mark.parametrize("share", [0.05, 0.1])
+def test_recall_at_every_length(length, share):
+    """Nine in ten copies at the largest number of edits are found, and as near as brute force finds them."""
+    rng = random.Random(length)
+    items = [(k, cases.words(rng, length)[:length]) for k in range(20)]
+    texts = [f"{cases.words(rng, 20)} {edited(rng, item, int(share * length))} {cases.words(rng, 20)}" for _, item in items] + [cases.words(rng, 200)]
+    searched = decontaminate.Items(items, share)
+    got = {(n, k): edits for n, k, edits, *_ in searched.search(texts)}
+    assert set(got) <= {(k, k) for k in range(20)}
+    assert len(got) >= 18
+    if length <= 400:
+        assert all(got[n, k] == distance(items[k][1], texts[n]) for n, k in got)

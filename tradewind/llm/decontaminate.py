@@ -7,9 +7,11 @@ characters; ASCII letters in either case and any white space agree). Windows of
    places off as there are edits. Places where no item has that many are not looked at further. This bound loses nothing.
 2. The CGK walk maps a window to a sequence of characters: step j writes the character at the pointer and, by a random bit
    of (j, character), moves the pointer on or not. Few edits then cost few positions (Hamming distance), as two
-   walks that were thrown apart meet again. The walk of a start serves items of all lengths, each up to its own end.
-3. Bit sampling: a table's key is the characters at ``sampled`` random positions. Several walks with several
-   tables each give the recall of ``recall(...)``; a start whose key is that of an item in any table is a candidate.
+   walks that were thrown apart meet again. The longer the walk, the longer they stay apart; so the walks of a long item
+   go over windows of at most ``WINDOW`` characters, spread over the item, each from its own place in it.
+3. Bit sampling: a table's key is the characters at ``sampled`` random positions. A start whose key is that of an item in any
+   of several tables of several walks is a candidate. Each group of items of like length has as many walks as find ``RECALL`` of
+   its own items again, edited at random by the largest number of edits, but at most ``MOST_WALKS`` (``Group.recall``: the share found).
 4. Candidates are verified by the exact edit distance (bit-parallel search of the item around the start).
 
 Null or empty items and texts match nothing. Items of equal text are reported each. Null ids are kept as they are; repeated rows are searched each. The items are sent to the
@@ -28,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARE = 0.1
-WALKS = 8
+WALKS = 8  # at first
+MOST_WALKS = 64
 TABLES = 8  # of each walk and group of lengths
 SAMPLED = 5
-AGREE = 0.6  # share of positions that agree at the largest number of edits, as measured in the tests
+WINDOW = 120  # characters of an item that a walk goes over
+RECALL = 0.97
+TRIALS = 60  # edited items by which the recall of a group is measured
 BLOCK_ITEMS = 5_000
 BLOCK_ITEM_CHARS = 4_000_000
 BLOCK_CHARS = 4_000_000
@@ -45,11 +50,6 @@ _EVEN[65:91] += 32
 _EVEN[_SPACES] = 32
 
 
-def recall(walks: int = WALKS, tables: int = TABLES, sampled: int = SAMPLED, agree: float = AGREE) -> float:
-    """Chance that a start aligned with a passage at the largest distance is a candidate, for independent tables."""
-    return 1 - (1 - agree**sampled) ** (walks * tables)
-
-
 def symbols(text: str) -> np.ndarray:
     """Code points, a character each, case and kind of white space evened out."""
     return _EVEN[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -89,15 +89,17 @@ class Group:
     """Items of like length."""
 
     shortest: int
-    taps: np.ndarray | None = None  # walk, table, sampled: steps
-    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by walk and table: sorted keys, their items
+    places: list[int] = field(default_factory=list)  # by walk: where in an item it starts
+    taps: list[np.ndarray] = field(default_factory=list)  # by walk: table, sampled: steps
+    keys: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by walk and table: sorted keys, their items
+    recall: float = 0.0
 
 
 class Items:
     """What tasks need of a block of items."""
 
     def __init__(self, rows: list[tuple[int | None, str]], share: float = SHARE, walks: int = WALKS, tables: int = TABLES, sampled: int = SAMPLED):
-        self.share, self.walks = share, walks
+        self.share = share
         self.ids = [i for i, t in rows if t]
         self.texts = [symbols(t) for _, t in rows if t]
         self.patterns: dict[int, dict[int, int]] = {}
@@ -127,42 +129,59 @@ class Items:
             known = np.zeros(1 << _BITS, bool)
             known[hash_ >> (32 - _BITS)] = True
             self.postings[q] = known, hash_.astype(np.uint32), item, offset
+        self.gap = 2 * WINDOW  # more than a walk's steps
         for g in self.groups:
-            # The pointer moves on at every other step, so the item lasts for about twice its length.
-            last = max(2, int(1.7 * g.shortest))
-            g.taps = np.sort(rng.integers(0, last, (walks, tables, sampled)), axis=2)
-        self.steps = max((int(g.taps.max()) + 1 for g in self.groups), default=0)
-        for g in self.groups:
-            mine = members[id(g)]
-            padded = np.zeros(sum(len(self.texts[k]) + self.steps for k in mine) + 1, np.uint32)
-            at, starts = 0, []
-            for k in mine:
-                padded[at : at + len(self.texts[k])] = self.texts[k]
-                starts.append(at)
-                at += len(self.texts[k]) + self.steps
-            for w in range(walks):
-                for keys in self.walk_keys(padded, np.array(starts), w, [(g, np.arange(len(mine)))])[0]:
-                    order = np.argsort(keys, kind="stable")
-                    g.keys.append((keys[order], np.array(mine)[order]))
-
-    def walk_keys(self, x: np.ndarray, starts: np.ndarray, walk: int, wanted: list[tuple[Group, np.ndarray]]) -> list[list[np.ndarray]]:
-        """For each (group, numbers of its starts), the keys of each table of the walk."""
-        taps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        out = [[np.zeros(len(rows), np.uint64) for _ in g.taps[walk]] for g, rows in wanted]
-        for n, (g, rows) in enumerate(wanted):
-            if len(rows):
-                for t, steps in enumerate(g.taps[walk].tolist()):
-                    for s in steps:
-                        taps[s].append((n, t))
-        pointer, last = starts.astype(np.int64), len(x) - 1
+            self._add_walks(g, np.array(members[id(g)]), walks, tables, sampled, rng)
+
+    def _add_walks(self, g: Group, mine: np.ndarray, walks: int, tables: int, sampled: int, rng: np.random.Generator) -> None:
+        """Walks of a group, doubled until they find enough of its edited items."""
+        x, starts = self._joined([self.texts[k] for k in mine])
+        tried = rng.choice(len(mine), TRIALS)
+        edits = self.bounds[mine[tried], 0]
+        y, first = self._joined([_edited(self.texts[mine[n]], e, rng) for n, e in zip(tried, edits)])
+        trial = np.repeat(np.arange(TRIALS), 2 * edits + 1)
+        near = np.arange(len(trial)) - np.repeat(np.cumsum(2 * edits + 1) - edits - 1, 2 * edits + 1) + first[trial]
+        found = np.zeros(TRIALS, bool)
+        window = min(WINDOW, g.shortest)
+        while True:
+            for w in range(len(g.taps), walks):
+                # Spread evenly, whatever the number of walks. The pointer moves on at every other step, so a window lasts for about twice its length.
+                g.places.append(int((w * 0.6180339887498949) % 1 * (g.shortest - window + 1)))
+                g.taps.append(np.sort(rng.integers(0, max(2, int(1.7 * window)), (tables, sampled)), axis=1))
+                g.keys.append([])
+                keys = self.walk_keys(x, starts + g.places[w], w, g)
+                tries = self.walk_keys(y, near + g.places[w], w, g)
+                for key, other in zip(keys, tries):
+                    found[trial[key[tried[trial]] == other]] = True
+                    order = np.argsort(key, kind="stable")
+                    g.keys[w].append((key[order], mine[order]))
+            g.recall = float(found.mean())
+            if g.recall >= RECALL or 2 * walks > MOST_WALKS:
+                return
+            walks *= 2
+
+    def _joined(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts with gaps between them, and where each starts."""
+        gap = np.zeros(self.gap, np.uint32)
+        sizes = np.array([len(t) + self.gap for t in texts], np.int64)
+        return np.concatenate([gap, *(part for t in texts for part in (t, gap))]), self.gap + np.cumsum(sizes) - sizes
+
+    def walk_keys(self, x: np.ndarray, starts: np.ndarray, walk: int, g: Group) -> list[np.ndarray]:
+        """The keys of each table of the group's walk from each start."""
+        taps: dict[int, list[int]] = defaultdict(list)
+        for t, steps in enumerate(g.taps[walk].tolist()):
+            for s in steps:
+                taps[s].append(t)
+        out = [np.zeros(len(starts), np.uint64) for _ in g.taps[walk]]
+        last = len(x) - 1
+        pointer = np.clip(starts.astype(np.int64), 0, last)
         for step in range(max(taps, default=-1) + 1):
             here = x[pointer]
-            if step in taps:
-                for n, t in taps[step]:
-                    key = out[n][t]
-                    key *= np.uint64(0x100000001B3)
-                    key += here[wanted[n][1]].astype(np.uint64)
-                    key ^= key >> np.uint64(29)
+            for t in taps.get(step, ()):
+                key = out[t]
+                key *= np.uint64(0x100000001B3)
+                key += here.astype(np.uint64)
+                key ^= key >> np.uint64(29)
             bit = (here * self.odd[(step + 17 * walk) % 64] + np.uint32((step * 0x9E3779B1 + walk * 0x7F4A7C15) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> np.uint32(31)
             pointer = np.minimum(pointer + bit, last)
         return out
@@ -171,31 +190,22 @@ class Items:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, number of the item, edits, start, end): the nearest passage of each text and item."""
-        gap = np.zeros(self.steps + 1, np.uint32)
-        parts, bounds, at = [], [], 0
-        for t in texts:
-            s = symbols(t)
-            parts += [s, gap]
-            bounds.append((at, at + len(s)))
-            at += len(s) + len(gap)
-        if not parts or not self.groups:
+        if not texts or not self.groups:
             return []
-        x = np.concatenate(parts)
-        wanted = self.windows(x)
-        starts = np.unique(np.concatenate([s for _, s in wanted]))
-        text_of = np.searchsorted(np.array([a for a, _ in bounds]), starts, "right") - 1
+        parts = [symbols(t) for t in texts]
+        x, begins = self._joined(parts)
+        bounds = [(a, a + len(p)) for a, p in zip(begins.tolist(), parts)]
         pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for lo in range(0, len(starts), STARTS_AT_ONCE):
-            some = starts[lo : lo + STARTS_AT_ONCE]
-            rows = [(g, np.flatnonzero(np.isin(some, s, assume_unique=True))) for g, s in wanted]
-            for w in range(self.walks):
-                for (g, mine), tables in zip(rows, self.walk_keys(x, some, w, rows)):
-                    for t, keys in enumerate(tables):
-                        known, items = g.keys[w * len(tables) + t]
+        for g, starts in self.windows(x):
+            for lo in range(0, len(starts), STARTS_AT_ONCE):
+                some = starts[lo : lo + STARTS_AT_ONCE]
+                for w, place in enumerate(g.places):
+                    text_of = np.maximum(np.searchsorted(begins, some + place, "right") - 1, 0)
+                    for keys, (known, items) in zip(self.walk_keys(x, some + place, w, g), g.keys[w]):
                         first, end = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                         for r in np.flatnonzero(first < end).tolist():
                             for k in items[first[r] : end[r]].tolist():
-                                pairs[int(text_of[lo + mine[r]]), k].append(int(some[mine[r]]))
+                                pairs[int(text_of[r]), k].append(int(some[r]))
         out = []
         for (n, k), at in sorted(pairs.items()):
             best = None
@@ -203,7 +213,7 @@ class Items:
             slack = int(self.share * m) + 1
             for lo, hi in _runs(sorted(set(at)), m):
                 lo, hi = max(a, lo - slack), min(b, hi + m + slack)
-                if (hit := self.verify(x[lo:hi], k)) and (best is None or hit[0] < best[0]):
+                if lo < hi and (hit := self.verify(x[lo:hi], k)) and (best is None or hit[0] < best[0]):
                     best = (hit[0], lo + hit[1] - a, lo + hit[2] - a)
             if best:
                 out.append((n, k, *best))
@@ -234,7 +244,7 @@ class Items:
             for n in range(len(self.groups)):
                 starts[n].append(one[group == n])
         found = [np.unique(np.concatenate([*s, np.empty(0, np.int64)])) for s in starts]
-        return [(g, s[(s >= 0) & (s < len(x))]) for g, s in zip(self.groups, found)]
+        return list(zip(self.groups, found))
 
     def verify(self, x: np.ndarray, k: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the nearest passage in x, if it is near enough; the first of equally near ones."""
@@ -255,6 +265,15 @@ class Items:
         return self.patterns[k]
 
 
+def _edited(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """With so many random edits, by symbols of its own."""
+    out = x.tolist()
+    for how in rng.integers(0, 3, edits).tolist():
+        at = int(rng.integers(0, len(out) + (how == 2)))
+        out[at : at + (how != 2)] = [] if how == 1 else [int(x[rng.integers(0, len(x))])]
+    return np.array(out, np.uint32)
+
+
 def _runs(at: list[int], reach: int) -> list[tuple[int, int]]:
     out = [[at[0], at[0]]]
     for a in at[1:]:

@@ -58,3 +58,18 @@ def test_blocks_do_not_change_scores():
     together = knn_quality.weights(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
     apart = np.concatenate([knn_quality.weights(np.frombuffer(r, np.uint8), np.array([len(r)])) for r in raw])
     assert np.allclose(together, apart)
+
+
+@pytest.mark.parametrize("kind", ["chinese", "same shapes"])
+def test_words_decide_where_shapes_are_alike(spark, kind):
+    rng = random.Random(9)
+    if kind == "chinese":
+        pools = [[chr(0x4E00 + 2 * k + q) for k in range(300)] for q in (0, 1)]
+        rows = [(i, "".join(rng.choice(pools[i % 2]) for _ in range(120))) for i in range(400)]
+    else:
+        pools = [["".join(rng.choice(some) for some in ("bdfg" if q else "klmn", "aei", "rst", "ou")) for _ in range(100)] for q in (0, 1)]
+        rows = [(i, " ".join(rng.choice(pools[i % 2]) for _ in range(80))) for i in range(400)]
+    docs = cases.documents(spark, rows)
+    model = knn_quality.fit(spark, docs, spark.createDataFrame([(i, i % 2, 0, 1) for i, _ in rows], LABELS))
+    held = [r for r in knn_quality.classified(knn_quality.score(spark, docs, model)).collect() if r["held_out"]]
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)

@@ -1,9 +1,10 @@
 """Quality by the votes of the nearest labelled documents in a latent space.
 
-A text's terms are its three-byte shapes (each byte as one of 16 classes: vowels, consonants, digits, marks and so on) and
-the share of words that repeat the word before. Their weights (root of the relative frequency times the inverse document
-frequency) go through a truncated singular value decomposition, fitted on the labelled sample; what is left are
-``dims`` latent numbers of unit length. The labelled vectors and the projection are broadcast; they have at most
+A text's terms are its words and its sequences of one to three code points, both hashed, and beside them its
+three-byte shapes (each byte as one of 16 classes: vowels, consonants, digits, marks and so on) and the share of words that repeat
+the word before. Their weights (root of the relative frequency times the inverse document frequency) go through truncated singular
+value decompositions, one of the words and sequences and one of the shapes, fitted on the labelled sample; what is left are twice
+``dims`` latent numbers. How much the shapes count is what scores the sample best, each text by the others (``mixed``). The labelled vectors and the projection are broadcast; they have at most
 ``2 * per_class`` rows. Each block of documents is multiplied with all of them, exactly, and the ``neighbours`` largest
 cosines vote with the power of their similarity. Classes are sampled alike and weighted back to their share among all labels.
 
@@ -37,8 +38,13 @@ BLOCK_BYTES = 4_000_000
 BLOCK_DOCS = 512
 
 SHAPES = 16**3
-TERMS = SHAPES + 1
-REPEATS = SHAPES  # the number of the last term
+REPEATS = SHAPES  # the number of the last of the shapes' terms
+WORD_BITS, GRAM_BITS = 12, 13
+WORDS = SHAPES + 1  # the number of the first word
+GRAMS = WORDS + (1 << WORD_BITS)  # of the first sequence of characters
+TERMS = GRAMS + (1 << GRAM_BITS)
+MIXES = (0.1, 0.3, 0.5, 0.7, 0.9)  # shares of the shapes in the cosine
+TRIED = 1_000  # texts of the sample by which one of them is chosen
 
 
 def _classes() -> np.ndarray:
@@ -84,28 +90,48 @@ def weights(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
             inside[cut[(cut >= 0) & (cut < len(shape))]] = False
         out[:, :SHAPES] = np.bincount(doc[inside] * SHAPES + shape[inside], minlength=n * SHAPES).reshape(n, SHAPES)
         out[:, :SHAPES] /= np.maximum(1, out.sum(axis=1, keepdims=True))
-    out[:, REPEATS] = repeated_words(raw, starts, ends)
+    words, doc = word_hashes(raw, starts, ends)
+    same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+    count = np.bincount(doc, minlength=n)
+    out[:, REPEATS] = np.bincount(doc[1:][same], minlength=n) / np.maximum(1, count)
+    buckets = (words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    out[:, WORDS:GRAMS] = np.bincount((doc << WORD_BITS) + buckets, minlength=n << WORD_BITS).reshape(n, -1)
+    out[:, WORDS:GRAMS] /= np.maximum(1, count)[:, None]
+    for buckets, doc in sequences(raw, ends):
+        out[:, GRAMS:] += np.bincount((doc << GRAM_BITS) + buckets, minlength=n << GRAM_BITS).reshape(n, -1)
+    out[:, GRAMS:] /= np.maximum(1, out[:, GRAMS:].sum(axis=1, keepdims=True))
     return np.sqrt(out)
 
 
-def repeated_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Share of words equal to the word before, by a hash of each word."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, in order, and its text."""
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     first = ~blank
     first[1:] &= blank[:-1]
     first[starts[starts < len(raw)]] = ~blank[starts[starts < len(raw)]]
     at = np.flatnonzero(first)
-    share = np.zeros(len(ends), np.float32)
-    if len(at) < 2:
-        return share
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], at]), np.diff(np.concatenate([[0], at, [len(raw)]])))
-    mixed = (raw.astype(np.uint64) + np.uint64(1)) * (np.uint64(0x9E3779B97F4A7C15) * (2 * place.astype(np.uint64) + np.uint64(1)))
+    mixed = (place.astype(np.uint64) << np.uint64(8) | raw) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
     mixed[blank] = 0
-    words = np.add.reduceat(mixed, at)
-    doc = np.searchsorted(ends, at, "right")
-    same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    counts = np.bincount(doc, minlength=len(ends))
-    return (np.bincount(doc[1:][same], minlength=len(ends)) / np.maximum(1, counts)).astype(np.float32)
+    return np.add.reduceat(mixed, at), np.searchsorted(ends, at, "right")
+
+
+def sequences(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For one, two and three characters: hashes of the sequences within a text, and their texts."""
+    code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    ends = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[ends]
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    h = code * np.uint32(0x9E3779B1)
+    for back in range(min(3, len(code))):
+        if back:
+            h = (h[:-1] ^ h[:-1] >> np.uint32(15)) * np.uint32(0x85EBCA6B) + code[back:] * np.uint32(0xC2B2AE35)
+        inside = doc[back:] == doc[: len(doc) - back]
+        yield ((h ^ h >> np.uint32(16)) * np.uint32(0x7FEB352D) >> np.uint32(32 - GRAM_BITS))[inside].astype(np.int64), doc[back:][inside]
 
 
 # ---- model ------------------------------------------------------------------------------------------------
@@ -114,24 +140,52 @@ def repeated_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 @dataclass
 class Model:
     idf: np.ndarray  # by term
-    projection: np.ndarray  # terms x dims
-    vectors: np.ndarray  # labelled x dims, unit length
+    projections: tuple[np.ndarray, np.ndarray]  # of shapes, of words and sequences: terms x dims
+    vectors: np.ndarray  # labelled x dims, at most of unit length
     votes: np.ndarray  # labelled x 2: weight, weight * label
     prior: float
+    mix: float = 0.5  # share of the shapes in the cosine
 
     def latent(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return unit((weights(raw, ends) * self.idf) @ self.projection)
+        x = weights(raw, ends)
+        x *= self.idf
+        return joined(*apart(x, self.projections), self.mix)
 
     def score(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(ends), self.prior)
         cosine = self.latent(raw, ends) @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        # Ties at the kth cosine are all counted, so the order of the sample decides nothing.
-        kth = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
-        near = np.where(cosine >= kth[:, None], np.maximum(cosine, 0) ** SHARPNESS, 0).astype(np.float64)
-        total = near @ self.votes
-        return np.where(total[:, 0] > 0, total[:, 1] / np.maximum(total[:, 0], 1e-300), self.prior).clip(0, 1)
+        return voted(cosine, self.votes, self.prior)
+
+
+def voted(cosine: np.ndarray, votes: np.ndarray, prior: float) -> np.ndarray:
+    k = min(NEIGHBOURS, cosine.shape[1])
+    # Ties at the kth cosine are all counted, so the order of the sample decides nothing.
+    kth = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+    near = np.where(cosine >= kth[:, None], np.maximum(cosine, 0) ** SHARPNESS, 0).astype(np.float64)
+    total = near @ votes
+    return np.where(total[:, 0] > 0, total[:, 1] / np.maximum(total[:, 0], 1e-300), prior).clip(0, 1)
+
+
+def apart(x: np.ndarray, projections: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return unit(x[:, :WORDS] @ projections[0]), unit(x[:, WORDS:] @ projections[1])
+
+
+def joined(shapes: np.ndarray, words: np.ndarray, mix: float) -> np.ndarray:
+    return np.concatenate([shapes * np.float32(mix**0.5), words * np.float32((1 - mix) ** 0.5)], axis=1)
+
+
+def mixed(shapes: np.ndarray, words: np.ndarray, votes: np.ndarray, prior: float) -> float:
+    """The share of the shapes by which texts of the sample, each scored by the others, come nearest to their labels."""
+    rows = np.arange(0, len(votes), -(-len(votes) // TRIED))
+    truth, weight = votes[rows, 1] / np.maximum(votes[rows, 0], 1e-300), votes[rows, 0]
+    errors = []
+    for mix in MIXES:
+        vectors = joined(shapes, words, mix)
+        cosine = vectors[rows] @ vectors.T
+        cosine[np.arange(len(rows)), rows] = -1
+        errors.append(float((weight * (voted(cosine, votes, prior) - truth) ** 2).sum()))
+    return MIXES[int(np.argmin(errors))]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -171,15 +225,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     found.sort(key=lambda r: (r["quality"], r["used"], r["weights"]))
     quality = np.array([r["quality"] for r in found], np.float64)
     if not len(found):
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.empty((0, 1), np.float32), np.empty((0, 2)), prior)
+        return Model(np.ones(TERMS, np.float32), (np.zeros((WORDS, 1), np.float32), np.zeros((TERMS - WORDS, 1), np.float32)), np.empty((0, 2), np.float32), np.empty((0, 2)), prior)
     x = np.zeros((len(found), TERMS), np.float32)
     for row, r in zip(x, found):
         row[np.frombuffer(r["used"], "<u2")] = np.frombuffer(r["weights"], "<f4")
     idf = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))).astype(np.float32)
     x *= idf
-    projection = decompose(x, min(dims, len(x)))
+    projections = decompose(x[:, :WORDS], min(dims, len(x))), decompose(x[:, WORDS:], min(dims, len(x)))
     weight = np.where(quality == 1, prior / max(quality.mean(), 1e-9), (1 - prior) / max(1 - quality.mean(), 1e-9))
-    return Model(idf, projection, unit(x @ projection), np.stack([weight, weight * quality], axis=1), prior)
+    votes = np.stack([weight, weight * quality], axis=1)
+    shapes, words = apart(x, projections)
+    mix = mixed(shapes, words, votes, prior)
+    return Model(idf, projections, joined(shapes, words, mix), votes, prior, mix)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archives, decontaminate, jaccard_tree, knn_quality, ngram_trie, packing, secrets, suffix_groups, token_files, va_search
+from tradewind.llm import archives, decontaminate, jaccard_tree, knn_quality, ngram_trie, packing, resampling, secrets, suffix_groups, token_files, va_search
 from tradewind.llm.shared import importable, shared_folder
 from tradewind.llm.tokenizing import default_vocabulary
 
@@ -113,6 +113,50 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_folder(spark, "resampling"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+    SELECT i, 0 AS k, i::BIGINT AS v FROM range(256) t(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY i) AS codes FROM steps WHERE k = 8),
+texts AS (
+    SELECT row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark
+),
+w AS (
+    SELECT row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM texts
+),
+spans AS (
+    SELECT row, span, count(*) AS c FROM (SELECT row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+        list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS span FROM w) GROUP BY ALL
+),
+features AS (
+    SELECT span, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+        lambda v, b: xor(v >> 8, codes[1 + (xor(v, b) & 255)]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT span, hex(encode(span)) AS h FROM spans), crc
+),
+counted AS (SELECT row, bucket, sum(c) AS c FROM spans JOIN features USING (span) GROUP BY ALL),
+both_sides AS (SELECT bucket, sum(c) FILTER (row > 0) AS s, sum(c) FILTER (row < 0) AS t FROM counted GROUP BY ALL),
+gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((sum(s) OVER ())::DOUBLE + 10000)
+        / ((coalesce(s, 0)::DOUBLE + 1) * (coalesce(sum(t) OVER (), 0)::DOUBLE + 10000))))::BIGINT AS gain FROM both_sides
+),
+weights AS (SELECT row, sum(c * gain)::BIGINT AS weight FROM counted JOIN gains USING (bucket) WHERE row > 0 GROUP BY ALL),
+scored AS (
+    SELECT row, doc_id, len(words) AS n_words, greatest(0, 3 * len(words) - 3 + if(len(words) = 1, 1, 0))::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM w LEFT JOIN weights USING (row) WHERE row > 0
+),
+places AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (row)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +175,7 @@ QUERIES: list[Query] = [
     op8_secret_scan,
     op9_token_files,
     op10_jaccard_groups,
+    op11_importance_resampling,
     pipeline,
 ]
 
@@ -142,4 +187,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """No SQL: tokenizer ids and the packing of them (2, 9), learned scores (3, 5), edit distances (7), test batteries (8) and
     repeated byte strings over all texts (6); ``tests/llm`` has brute-force versions of these."""
-    return {"op1_arc_to_warc": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op10_jaccard_groups": OP10_SQL}
+    return {"op1_arc_to_warc": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op10_jaccard_groups": OP10_SQL, "op11_importance_resampling": OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archives, decontaminate, jaccard_tree, knn_quality, ngram_trie, packing, resampling, secrets, suffix_groups, token_files, va_search
+from tradewind.llm import archives, decontaminate, hamming_index, jaccard_tree, knn_quality, ngram_trie, packing, resampling, secrets, suffix_groups, token_files, va_search, whitening
 from tradewind.llm.shared import importable, shared_folder
 from tradewind.llm.tokenizing import default_vocabulary
 
@@ -157,6 +157,14 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN p
 """
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shared_folder(spark, "hamming-index"), k=5)
+
+
+def op13_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"), shared_folder(spark, "whitening"), count=16, scale=64, offset=1_000_000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -176,6 +184,8 @@ QUERIES: list[Query] = [
     op9_token_files,
     op10_jaccard_groups,
     op11_importance_resampling,
+    op12_nearest_vectors,
+    op13_whitened_vectors,
     pipeline,
 ]
 
@@ -185,6 +195,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """No SQL: tokenizer ids and the packing of them (2, 9), learned scores (3, 5), edit distances (7), test batteries (8) and
-    repeated byte strings over all texts (6); ``tests/llm`` has brute-force versions of these."""
+    """No SQL: tokenizer ids and the packing of them (2, 9), learned scores (3, 5), edit distances (7), test batteries (8),
+    repeated byte strings over all texts (6), approximate search (12) and eigenvectors (13); ``tests/llm`` has brute-force versions of these."""
     return {"op1_arc_to_warc": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op10_jaccard_groups": OP10_SQL, "op11_importance_resampling": OP11_SQL}

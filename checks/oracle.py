@@ -782,6 +782,10 @@ SELECT 'system_notifications', (SELECT COUNT(*) FROM notice_user) + (SELECT COUN
 SELECT 'dead_letters', (SELECT COUNT(*) FROM dead)""",
     "stream_events_daily": "SELECT date_trunc('day', ts) AS start, COUNT(*) AS count FROM events GROUP BY 1",
     "stream_events_hourly": "SELECT date_trunc('hour', ts) AS start, COUNT(*) AS count FROM events GROUP BY 1",
+    "stream_events_bounded": """
+WITH mark AS (SELECT MAX(ts) - INTERVAL 3 HOUR AS behind FROM events WHERE event_type <> 'error'),
+e AS (SELECT date_trunc('hour', ts) AS start, event_type = 'error' AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= behind AS late FROM events, mark)
+SELECT start, COUNT(*) FILTER (NOT late) AS kept, COUNT(*) FILTER (late) AS late FROM e GROUP BY 1""",
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.functions.clock import days_back, moment
-from tradewind.operators import dedup, logs, maintenance, notices, refreshes, regional, rollups, upserts
+from tradewind.operators import dedup, logs, maintenance, notices, paging, refreshes, regional, rollups, upserts
 from tradewind.operators import notifications as ntf
 from tradewind.operators.paging import Page
 from tradewind.plans import dashboards, health, refresh, regions
@@ -116,11 +116,6 @@ def src_parse_payment(t: FixtureTables) -> DataFrame:
     return _parsed(t, "payment", FixtureMessages(t).payments()).drop("payeeId", "region", "errorCode")
 
 
-@query
-def scan_fact_window(t: FixtureTables) -> DataFrame:
-    return t.read("fact_trade", after=days_back(AS_OF, 30)).select("order_id", "executed_at", "amount")
-
-
 def _fact_warehouse(t: FixtureTables, name: str, facts: tuple[str, ...] = FACTS) -> Warehouse:
     """The given facts stored by month."""
     warehouse = Warehouse(t.spark, scratch_folder(t.spark, name))
@@ -131,6 +126,13 @@ def _fact_warehouse(t: FixtureTables, name: str, facts: tuple[str, ...] = FACTS)
     return warehouse
 
 
+@query
+def scan_fact_window(t: FixtureTables) -> DataFrame:
+    """From facts stored by month; older months are not listed."""
+    stored = _fact_warehouse(t, "window", ("fact_trade",))
+    return stored.read("fact_trade", after=days_back(AS_OF, 30)).select("order_id", "executed_at", "amount")
+
+
 @query
 def sink_fact_by_month(t: FixtureTables) -> DataFrame:
     warehouse = _fact_warehouse(t, "facts")
@@ -181,10 +183,21 @@ def sink_payload_json(t: FixtureTables) -> DataFrame:
 
 @query
 def ing_dedup_events(t: FixtureTables) -> DataFrame:
-    """Deliveries not yet in a ledger that holds all but the last week."""
-    ledger = t.read("consumed_events").filter(F.col("received_at") <= moment(days_back(AS_OF, 7)))
-    once = dedup.first_per_key(t.read("event_deliveries"), "event_id", F.struct("received_at", "payload"))
-    return dedup.unseen(once, ledger).select("event_id", "received_at", "event_type")
+    """A stream of deliveries, stopped after all but the last week and started again over all of them: what the second run lets through."""
+    home = scratch_folder(t.spark, "deliveries")
+    deliveries = t.read("event_deliveries")
+    parts = (deliveries.filter(F.col("received_at") <= moment(days_back(AS_OF, 7))), deliveries)
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{home}/inbox/{n}")
+        stream = t.spark.readStream.schema(deliveries.schema).option("maxFilesPerTrigger", "4").parquet(f"{home}/inbox/*")
+
+        def keep(batch: DataFrame, batch_id: int, n: int = n) -> None:
+            batch.write.mode("overwrite").parquet(f"{home}/run-{n}/{batch_id}")
+
+        run = dedup.once(stream, "event_id").writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/progress")
+        run.trigger(availableNow=True).start().awaitTermination()
+    found = t.spark.read.schema(deliveries.schema).parquet(f"{home}/run-1/*")
+    return found.select("event_id", "received_at", "event_type")
 
 
 @query
@@ -432,8 +445,11 @@ def mv_refresh_diff(t: FixtureTables) -> DataFrame:
         "amount",
         (F.col("completed_at") + F.make_dt_interval(F.lit(2000))).alias("executed_at"),
     )
-    old = rollups.trades_daily(settled.select(*stray.columns).unionByName(stray))
-    return rollups.difference(old, rollups.trades_daily(trades), ("day",))
+    warehouse = Warehouse(t.spark, scratch_folder(t.spark, "difference"))
+    tx = warehouse.begin()
+    tx.replace("mv_trades_daily", rollups.trades_daily(settled.select(*stray.columns).unionByName(stray)))
+    tx.commit()
+    return refresh.refresh_by_difference(warehouse, "mv_trades_daily", t)
 
 
 @query
@@ -458,7 +474,10 @@ def mv_refresh_stats(t: FixtureTables) -> DataFrame:
 
 @query
 def mv_vs_direct(t: FixtureTables) -> DataFrame:
-    return refresh.compare_with_direct(t, days_back(AS_OF, 30))
+    """A stored rollup beside the stored facts."""
+    warehouse = _fact_warehouse(t, "direct", ("fact_trade",))
+    refresh.refresh(warehouse, "mv_trades_daily", clock=_ticking())
+    return refresh.compare_with_direct(warehouse, days_back(AS_OF, 30))
 
 
 # ---- regional views ---------------------------------------------------------
@@ -557,8 +576,10 @@ for _name, _build in _REPORTS.items():
 
 @query
 def page(t: FixtureTables) -> DataFrame:
-    """Third page of this week's log, with the number of all rows beside every row."""
-    found = logs.search(t, AS_OF, number=2, size=25)
+    """Third page of this week's log, reached from the last rows of the two before, with the number of all rows beside every row."""
+    found = logs.search_on(t, AS_OF, size=25)
+    for _ in range(2):
+        found = logs.search_on(t, AS_OF, paging.last_of(found, "log_timestamp", "id"), size=25)
     return found.rows.select("id", "log_level", "log_timestamp", found.total.scalar().alias("total"))
 
 
@@ -575,8 +596,17 @@ def ntf_apply_reads(t: FixtureTables) -> DataFrame:
     every = events.filter((F.col("event_type") == "view") & (F.col("user_id") % 3 == 0)).select(
         F.lit(None).cast("string").alias("notification_id"), F.col("user_id").cast("string").alias("user_id"), at
     )
-    result = ntf.apply_reads(t.read("system_notifications"), one.unionByName(every))
-    return result.select("notification_id", "target_user_id", "read_status", "read_at")
+    warehouse = _log_warehouse(t, "system_notifications")
+    refresh.mark_read(warehouse, one.unionByName(every))
+    return warehouse.read("system_notifications").select("notification_id", "target_user_id", "read_status", "read_at")
+
+
+def _log_warehouse(t: FixtureTables, table: str) -> Warehouse:
+    warehouse = Warehouse(t.spark, scratch_folder(t.spark, table))
+    tx = warehouse.begin()
+    tx.replace(table, t.read(table))
+    tx.commit()
+    return warehouse
 
 
 # ---- maintenance ------------------------------------------------------------
@@ -584,13 +614,16 @@ def ntf_apply_reads(t: FixtureTables) -> DataFrame:
 
 @query
 def mnt_purge_refresh_log(t: FixtureTables) -> DataFrame:
-    return t.read("mv_refresh_log").filter(~maintenance.old_refresh(AS_OF, days=20))
+    warehouse = _log_warehouse(t, "mv_refresh_log")
+    refresh.purge(warehouse, AS_OF, refresh_days=20)
+    return warehouse.read("mv_refresh_log")
 
 
 @query
 def mnt_purge_notifications(t: FixtureTables) -> DataFrame:
-    kept = t.read("system_notifications").filter(~maintenance.expired(AS_OF))
-    return kept.select("notification_id", "created_at", "expires_at")
+    warehouse = _log_warehouse(t, "system_notifications")
+    refresh.purge(warehouse, AS_OF)
+    return warehouse.read("system_notifications").select("notification_id", "created_at", "expires_at")
 
 
 @query
@@ -600,8 +633,10 @@ def mnt_retention_plan(t: FixtureTables) -> DataFrame:
 
 @query
 def mnt_partition_coverage(t: FixtureTables) -> DataFrame:
-    trades = maintenance.partition_coverage(t, AS_OF, "fact_trade")
-    return trades.unionAll(maintenance.partition_coverage(t, AS_OF, "fact_user_activity"))
+    """From the folders of stored facts."""
+    stored = _fact_warehouse(t, "coverage", ("fact_trade", "fact_user_activity"))
+    trades = maintenance.partition_coverage(stored, AS_OF, "fact_trade")
+    return trades.unionAll(maintenance.partition_coverage(stored, AS_OF, "fact_user_activity"))
 
 
 @query
@@ -673,3 +708,19 @@ def stream_events_daily(t: FixtureTables) -> DataFrame:
 @query
 def stream_events_hourly(t: FixtureTables) -> DataFrame:
     return _window_counts(t, "1 hour")
+
+
+@query
+def stream_events_bounded(t: FixtureTables) -> DataFrame:
+    """Events by hour with three hours' patience, errors delivered after everything else: what the windows kept, and what came too late."""
+    home = scratch_folder(t.spark, "bounded")
+    events = t.raw("events").select(F.col("ts").cast("timestamp").alias("received_at"), "event_type")
+    for n, part in enumerate((events.filter("event_type <> 'error'"), events.filter("event_type = 'error'"))):
+        part.coalesce(1).write.parquet(f"{home}/inbox/{n}")
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{home}/inbox/*")
+        counts = windows.event_counts(stream, "received_at", "1 hour", "3 hours")
+        windows.keep_counts(counts, f"{home}/counts", f"{home}/progress").awaitTermination()
+    kept = windows.read_counts(t.spark, f"{home}/counts")
+    late = windows.late_events(t.spark.read.parquet(f"{home}/inbox/*"), kept, "received_at", "1 hour")
+    both = kept.join(late, "start", "full_outer")
+    return both.select("start", F.coalesce("count", F.lit(0)).alias("kept"), F.coalesce("missing", F.lit(0)).alias("late"))

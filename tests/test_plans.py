@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import queries
-from tests.helpers import dicts
-from tradewind.operators import dedup, rollups
+from tests.helpers import dicts, frame
+from tradewind.operators import dedup, rollups, upserts
 from tradewind.plans import dashboards
 from tradewind.sources.fixtures import AS_OF, FixtureTables
 
@@ -36,7 +36,7 @@ def test_top_k_is_not_a_full_sort(given):
     assert "TakeOrderedAndProject" in plan(dashboards.recent_trades(given))
 
 
-RUN_JOBS = {"stream_intake", "stream_events_daily", "stream_events_hourly", "mv_refresh_one", "mv_refresh_all", "sink_fact_by_month"}
+RUN_JOBS = {"stream_intake", "stream_events_daily", "stream_events_hourly", "mv_refresh_one", "mv_refresh_all", "sink_fact_by_month", "stream_events_bounded"}
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -54,6 +54,34 @@ def test_difference_is_an_equi_join(spark, given):
     assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
 
 
+def test_stored_facts_are_not_shuffled_by_an_upsert(spark, warehouse):
+    rows = frame(spark, "fact_trade", [{"order_id": str(i), "executed_at": "2024-01-05 00:00:00", "amount": i} for i in range(9)])
+    tx = warehouse.begin()
+    tx.append("fact_trade", rows)
+    tx.commit()
+    stored = warehouse.read("fact_trade")
+    arriving = rows.filter("order_id < '3'").selectExpr("*", "executed_at AS arrived_at", "order_id AS event_id")
+    merged = upserts.upsert(stored, arriving, "fact_trade")
+    assert merged.count() == 9
+    text = plan(merged)
+    scans = [n for n, line in enumerate(text.split("\n")) if "FileScan parquet" in line]
+    above = [path_to_root(text, n) for n in scans]
+    assert len(above) == 2  # whole rows, and keys alone
+    assert not any("Exchange hashpartitioning" in line for line in above[0])
+
+
+def path_to_root(text, n):
+    """The operators above a line of a plan's tree."""
+    lines = text.split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    found, at = [], depth(lines[n])
+    for line in reversed(lines[:n]):
+        if line.strip() and depth(line) < at:
+            found.append(line)
+            at = depth(line)
+    return found
+
+
 def test_hot_user_is_counted_before_the_join(given):
     text = plan(dashboards.top_active_users(given, AS_OF))
     join = text.index("Join")

@@ -1,4 +1,4 @@
-"""Exactly-once by event id: within a batch, against the ledger, or over a watermark."""
+"""Exactly-once by event id: within a batch, against the ledger, or by a stream's own state."""
 
 from __future__ import annotations
 
@@ -32,6 +32,12 @@ def new_rows(df: DataFrame, existing: DataFrame, key: str, order: Column) -> Dat
     return unseen(first_per_key(df, key, order), existing, key)
 
 
-def within_watermark(stream: DataFrame, time: str, delay: str, key: str = "event_id") -> DataFrame:
-    """Bounded-state alternative for streams whose copies arrive within ``delay``."""
+def once(stream: DataFrame, key: str = "event_id", time: str | None = None, delay: str | None = None) -> DataFrame:
+    """Each key of a stream once: the query's own state knows the keys it has had, across batches and restarts.
+
+    The state (RocksDB, beside the checkpoint; see ``session.prepare``) is split by key and holds the keys alone, so a batch costs what it
+    brings, however many came before. With ``delay``, copies arrive within that time of each other and older keys are forgotten.
+    """
+    if delay is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

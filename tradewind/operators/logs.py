@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import days_back, moment
 from ..functions.layout import how_many
 from ..sources.tables import Tables
-from .paging import Page, page
+from .paging import Page, behind, next_page, page
 
 # Fixed values.
 LEVELS = ("DEBUG", "INFO", "WARN", "ERROR", "FATAL")
@@ -54,6 +54,20 @@ def search(
     return page(rows, "log_timestamp", number, size)
 
 
+def search_on(
+    tables: Tables,
+    as_of: datetime,
+    seen: tuple[object, object] | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    size: int = 50,
+    **conditions: str | None,
+) -> Page:
+    """As ``search``, from behind the last row seen (its time and id)."""
+    rows = matching(tables, start or days_back(as_of, 7), end or as_of, **conditions)
+    return next_page(rows, "log_timestamp", "id", seen, size)
+
+
 def errors(tables: Tables, number: int = 0, size: int = 50) -> Page:
     return _newest_page(tables, F.col("log_level").isin(*ERROR_LEVELS), number, size)
 
@@ -64,6 +78,15 @@ def _newest_page(tables: Tables, where: Column, number: int, size: int) -> Page:
     return Page(page(rows, "log_timestamp", number, size).rows, how_many(tables.read("system_logs").filter(where)))
 
 
+def errors_on(tables: Tables, seen: tuple[object, object] | None = None, size: int = 50) -> Page:
+    """As ``errors``, from behind the last row seen; later months are not looked at."""
+    where = F.col("log_level").isin(*ERROR_LEVELS)
+    until = seen[0] if seen else None
+    found = where if seen is None else where & behind("log_timestamp", "id", seen)
+    rows = tables.newest("system_logs", size, found, until=until)
+    return Page(next_page(rows, "log_timestamp", "id", seen, size).rows, how_many(tables.read("system_logs").filter(where)))
+
+
 def by_correlation(tables: Tables, as_of: datetime, correlation_id: str, number: int = 0, size: int = 50) -> Page:
     """One correlation id over 30 days, oldest first."""
     rows = matching(tables, days_back(as_of, 30), as_of, correlation_id=correlation_id)

@@ -101,3 +101,20 @@ def apply_reads(notifications: DataFrame, reads: DataFrame) -> DataFrame:
         {"read_status": read_at.isNotNull(), "read_at": F.coalesce(read_at, F.col("read_at"))}
     )
     return marked.select(*columns).unionByName(notifications.filter(F.col("read_status")))
+
+
+def with_receipts(notifications: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Rows beside which receipts (``notification_id``, ``read_at``) are kept, as read as these say. Only unread rows are looked up."""
+    first = receipts.groupBy(F.col("notification_id").alias("receipt_id")).agg(F.min("read_at").alias("row_read"))
+    columns = notifications.columns
+    unread = notifications.filter(~F.col("read_status")).join(first, F.col("notification_id") == F.col("receipt_id"), "left")
+    marked = unread.withColumns({"read_status": F.col("row_read").isNotNull(), "read_at": F.coalesce("row_read", "read_at")})
+    return marked.select(*columns).unionByName(notifications.filter(F.col("read_status")))
+
+
+def receipts(unread: DataFrame, reads: DataFrame) -> DataFrame:
+    """The receipts of single rows that ``reads`` come to: those with an id as they are, and one for each unread row a user's receipt for all marks."""
+    single = reads.filter(F.col("notification_id").isNotNull()).select("notification_id", "read_at")
+    everything = reads.filter(F.col("notification_id").isNull())
+    marked = apply_reads(unread, everything).filter("read_status")
+    return single.unionByName(marked.select("notification_id", "read_at"))

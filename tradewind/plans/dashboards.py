@@ -23,8 +23,8 @@ def overview_counts(tables: Tables) -> DataFrame:
         tables.spark,
         {
             "total_users": how_many(tables.read("dim_users")),
-            "total_trades": how_many(tables.read("fact_trade")),
-            "events_processed": how_many(tables.read("consumed_events")),
+            "total_trades": tables.totals("fact_trade").select("n"),
+            "events_processed": tables.size("consumed_events"),
         },
     )
 
@@ -57,9 +57,7 @@ def trade_volume_by_currency(tables: Tables) -> DataFrame:
 
 
 def issuance_totals(tables: Tables) -> DataFrame:
-    return tables.read("fact_issuance").agg(
-        count_rows().alias("total_issuances"), F.sum("quantity_tco2e").alias("total_tco2e")
-    )
+    return tables.totals("fact_issuance").select(F.col("n").alias("total_issuances"), F.col("total").alias("total_tco2e"))
 
 
 def recent_activities(tables: Tables, as_of: datetime, n: int = 10) -> DataFrame:

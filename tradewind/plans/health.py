@@ -12,54 +12,46 @@ from ..functions.layout import count_rows, how_many, newest_first, one_row, top
 from ..sources.tables import Tables
 
 
-def _sum(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("v"))
-
-
 # -- KPIs
 
 
 def kpi_snapshot(tables: Tables, as_of: datetime) -> DataFrame:
     """The gauges. Volume and credits (in thousandths) are cut to whole numbers."""
-    trades, issuances = tables.read("fact_trade"), tables.read("fact_issuance")
-    milli_credits = issuances.agg((F.coalesce(F.sum("quantity_tco2e"), F.lit(0)) * 1000).cast("bigint").alias("v"))
+    trades, issuances = tables.totals("fact_trade"), tables.totals("fact_issuance")
+    total = F.coalesce("total", F.lit(0))
     return one_row(
         tables.spark,
         {
             "users": how_many(tables.read("dim_users")),
-            "trades": how_many(trades),
-            "issuances": how_many(issuances),
-            "events": how_many(tables.read("consumed_events")),
+            "trades": trades.select("n"),
+            "issuances": issuances.select("n"),
+            "events": tables.size("consumed_events"),
             "today_activities": how_many(tables.read("fact_user_activity", after=midnight(as_of))),
-            "trade_volume": trades.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("bigint").alias("v")),
-            "carbon_credits_milli": milli_credits,
+            "trade_volume": trades.select(total.cast("bigint")),
+            "carbon_credits_milli": issuances.select((total * 1000).cast("bigint")),
         },
     )
 
 
 def kpi_summary(tables: Tables) -> DataFrame:
     """Core counts; the volume shown is that of the alphabetically first currency."""
-    trades, issuances = tables.read("fact_trade"), tables.read("fact_issuance")
-    events = tables.read("consumed_events")
-    volume = (
-        trades.groupBy("currency")
-        .agg(F.sum("amount").alias("total_amount"))
-        .orderBy(F.asc_nulls_last("currency"))
-        .limit(1)
-    )
-    rate = events.agg(F.when(count_rows() > 0, 100.0).otherwise(0.0).alias("v"))
+    issuances, events = tables.totals("fact_issuance"), tables.size("consumed_events")
+    by_currency = tables.totals_by("fact_trade", "currency")
+    first = F.min(F.struct(F.col("currency").isNull().alias("missing"), "currency", "total")).alias("first")
+    volume = by_currency.agg(first).select("first.*")
+    rate = events.select(F.when(F.col("n") > 0, 100.0).otherwise(0.0))
     return one_row(
         tables.spark,
         {
             "users": how_many(tables.read("dim_users")),
-            "activities": how_many(tables.read("fact_user_activity")),
-            "trades": how_many(trades),
-            "issuances": how_many(issuances),
-            "events_processed": how_many(events),
+            "activities": tables.totals("fact_user_activity").select("n"),
+            "trades": tables.totals("fact_trade").select("n"),
+            "issuances": issuances.select("n"),
+            "events_processed": events,
             "event_success_rate": rate,
             "volume_currency": F.coalesce(volume.select("currency").scalar(), F.lit("VND")),
-            "volume_total_amount": F.coalesce(volume.select("total_amount").scalar(), F.lit(0)),
-            "total_carbon_credits": _sum(issuances, "quantity_tco2e"),
+            "volume_total_amount": F.coalesce(volume.select("total").scalar(), F.lit(0)),
+            "total_carbon_credits": issuances.select(F.coalesce("total", F.lit(0))),
         },
     )
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import add_months, day_of, month_column, month_of
-from ..operators import maintenance, notifications
-from ..operators.rollups import ROLLUPS, difference
-from ..schemas import RETENTION_MONTHS, TABLES
+from ..operators import maintenance, notifications, upserts
+from ..operators.rollups import ROLLUPS, Rollup, difference, finished, merged, states
+from ..schemas import RETENTION_MONTHS, TABLES, conform
 from ..sources.tables import Tables
-from ..sources.warehouse import INPUTS, Warehouse
+from ..sources.warehouse import INPUTS, USERS_FOLDED, Transaction, Warehouse
 from ..streaming.intake import utc_now
 
 
@@ -44,18 +44,20 @@ def refresh(
 ) -> str:
     """Recompute one rollup and switch to it; 'SUCCESS' or 'FAILED', with a log row either way.
 
-    Days never cross months, so when the facts are in the same warehouse only the months whose folders
-    changed since the last refresh are aggregated again. Readers see the old or the new rollup.
+    When the facts are in the same warehouse, only the folders that came or went since the last refresh are read; their
+    states are added to the stored one, or taken out of it. Readers see the old or the new rollup.
     """
     spec = ROLLUPS[name]
     started = clock()
     _log(warehouse, mv_name=name, refresh_started_at=started, status="RUNNING")
     try:
         tx = warehouse.begin()
-        if facts is None:
-            _refresh_changed_months(warehouse, tx, spec, build or spec.build)
+        if facts is None and build is None:
+            _refresh_by_states(warehouse, tx, spec)
         else:
-            tx.replace(name, (build or spec.build)(facts.read(spec.fact)))
+            source = warehouse if facts is None else facts
+            tx.replace(name, (build or spec.build)(source.read(spec.fact)))
+            _forget_state(tx, spec)
         tx.commit()
         rows = warehouse.read(name).count()
     except Exception as error:  # the failure is the result: it goes to the log for the operators
@@ -79,15 +81,45 @@ def refresh(
     return "SUCCESS"
 
 
-def _refresh_changed_months(warehouse: Warehouse, tx, spec, build) -> None:
+def _forget_state(tx: Transaction, spec: Rollup) -> None:
+    """The rollup was made another way: the next refresh starts anew."""
+    tx.use(spec.state, {})
+    tx.mark(f"{INPUTS}{spec.name}", {})
+
+
+def _refresh_by_states(warehouse: Warehouse, tx: Transaction, spec: Rollup) -> None:
+    """Add what came and take out what went, folder by folder; of the rollup only the days met change.
+
+    Folders that went are read once more, as ``vacuum`` leaves them for a time; if they are gone, or there is no state, all starts anew.
+    """
     mark = f"{INPUTS}{spec.name}"
     now = tx.state.tables.get(spec.fact, {})
-    before = tx.state.marks.get(mark, {})
-    changed = [m for m in {*now, *before} if now.get(m) != before.get(m)]
-    if changed:
-        folders = [f for m in sorted(changed) for f in now.get(m, [])]
-        tx.replace(spec.name, build(warehouse.folders_as_table(spec.fact, folders)), changed)
-        tx.mark(mark, now)
+    came, went = warehouse.changed_folders(spec, tx.state)
+    if not came and not went:
+        return
+    # Whole months that went (retention) need no arithmetic.
+    left = [m for m in tx.state.marks.get(mark, {}) if m not in now]
+    tx.drop_months(spec.name, left)
+    tx.drop_months(spec.state, left)
+    went = [f for f in went if not any(f in tx.state.marks[mark][m] for m in left)]
+    if not tx.state.marks.get(mark) or not tx.state.folders(spec.state) or not warehouse.present(went):
+        _forget_state(tx, spec)
+        tx.use(spec.name, {})
+        came, went = [f for fs in now.values() for f in fs], []
+    tx.mark(mark, now)
+    parts = [states(warehouse.folders_as_table(spec.fact, folders), spec, sign) for folders, sign in ((came, 1), (went, -1)) if folders]
+    if not parts:
+        return
+    delta = parts[0] if len(parts) == 1 else merged(parts[0].unionAll(parts[1]))
+    before = tx.months(spec.state)
+    tx.append(spec.state, delta)
+    written = {m: [f for f in fs if f not in before.get(m, [])] for m, fs in tx.months(spec.state).items()}
+    months = [m for m, fs in written.items() if fs]
+    days = warehouse.folders_as_table(spec.state, [f for m in months for f in written[m]]).select("day").distinct()
+    whole = warehouse.folders_as_table(spec.state, [f for m in months for f in tx.months(spec.state)[m]])
+    fresh = finished(merged(whole.join(days, "day", "left_semi")), spec)
+    old = warehouse.folders_as_table(spec.name, [f for m in months for f in tx.months(spec.name).get(m, [])])
+    tx.replace(spec.name, old.join(days, "day", "left_anti").unionByName(conform(fresh, spec.name)), months)
 
 
 def refresh_all(
@@ -116,6 +148,7 @@ def refresh_by_difference(warehouse: Warehouse, name: str, facts: Tables) -> Dat
     if changed:
         kept = {m: f for m, f in before.items() if m not in changed}
         tx.use(name, kept | {m: f for m, f in written.items() if m in changed})
+        _forget_state(tx, spec)
         tx.commit()
     return changes
 
@@ -148,10 +181,10 @@ def compare_with_direct(tables: Tables, after: datetime) -> DataFrame:
 # -- maintenance jobs
 
 
-def purge(warehouse: Warehouse, as_of: datetime) -> None:
+def purge(warehouse: Warehouse, as_of: datetime, refresh_days: int = 30) -> None:
     """Drop old refresh-log rows and expired notifications; only folders holding such rows are rewritten."""
     gone = {
-        "mv_refresh_log": maintenance.old_refresh(as_of),
+        "mv_refresh_log": maintenance.old_refresh(as_of, refresh_days),
         "system_notifications": maintenance.expired(as_of),
     }
     for table, drop in gone.items():  # of different pointers
@@ -177,20 +210,57 @@ def apply_retention(warehouse: Warehouse, as_of: datetime) -> dict[str, list[str
 
 
 def mark_read(warehouse: Warehouse, reads: DataFrame) -> None:
-    """Apply read receipts; folders without unread rows stay as they are."""
+    """Keep read receipts as rows of their own, merged when notifications are read; no notification is rewritten.
+
+    A user's receipt for all becomes one for each row the user has not read; only for such receipts are notifications read.
+    """
+    tx = warehouse.begin()
+    unread = warehouse.read("system_notifications").filter(~F.col("read_status"))
+    everything = reads.filter(F.col("notification_id").isNull())
+    if everything.isEmpty():
+        unread = unread.limit(0)
+    tx.append("notification_reads", notifications.receipts(unread, reads))
+    tx.commit()
+
+
+def fold_reads(warehouse: Warehouse) -> None:
+    """Write receipts into the notifications they mark, in the folders that hold such rows, and drop them."""
     table = "system_notifications"
     tx = warehouse.begin()
-    folders = warehouse.folders_holding(table, tx.state.folders(table), lambda rows: rows.filter(~F.col("read_status")))
+    receipts = warehouse.folders_as_table("notification_reads", tx.state.folders("notification_reads"))
+    ids = receipts.select("notification_id").distinct()
+    folders = warehouse.folders_holding(
+        table, tx.state.folders(table), lambda rows: rows.filter(~F.col("read_status")).join(ids, "notification_id", "left_semi")
+    )
     if folders:
         rows = warehouse.folders_as_table(table, folders)
-        tx.replace_folders(table, folders, notifications.apply_reads(rows, reads))
-        tx.commit()
+        tx.replace_folders(table, folders, notifications.with_receipts(rows, receipts))
+    tx.use("notification_reads", {})
+    tx.commit()
+
+
+def fold_users(warehouse: Warehouse) -> None:
+    """Put the changes of each user together, in one folder that has each user once."""
+    tx = warehouse.begin()
+    stored = upserts.as_changes(warehouse.folders_as_table("dim_users", tx.state.folders("dim_users")))
+    changes = warehouse.folders_as_table("dim_user_changes", tx.state.folders("dim_user_changes"))
+    tx.replace("dim_user_changes", upserts.fold_changes(stored.unionByName(changes)))
+    tx.use("dim_users", {})
+    (folder,) = tx.state.folders("dim_user_changes")
+    tx.mark(USERS_FOLDED, folder)
+    tx.commit()
 
 
 def compact(warehouse: Warehouse, least: int = 24) -> None:
     """Merge the folders that micro-batches leave behind, in months that have many of them."""
+    states_of = {r.state for r in ROLLUPS.values()}
+    folds = {"dim_user_changes": fold_users, "notification_reads": fold_reads}
     for table in TABLES:
         tx = warehouse.begin()
-        tx.compact(table, least)
+        if table in folds:
+            if len(tx.state.folders(table)) >= least:
+                folds[table](warehouse)
+            continue
+        tx.compact(table, least, merged if table in states_of else None)
         if tx.state != tx.base:
             tx.commit()

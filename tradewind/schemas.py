@@ -43,6 +43,7 @@ class Table:
     time: str | None = None
     defaults: dict[str, object] = field(default_factory=dict)
     renames: dict[str, str] = field(default_factory=dict)
+    lookups: tuple[str, ...] = ()  # columns that single values are looked up in: rows lie sorted by the first, and all have bloom filters
 
     @property
     def columns(self) -> list[str]:
@@ -119,6 +120,7 @@ _TABLES = [
         ),
         key=("id",),
         time="log_timestamp",
+        lookups=("correlation_id", "user_id"),
     ),
     Table(
         "system_notifications",
@@ -186,6 +188,37 @@ _TABLES = [
         key=("day", "event_type"),
         time="day",
     ),
+    Table(
+        "dim_user_changes",
+        T.StructType(
+            [
+                T.StructField("user_id", T.LongType()),
+                *(
+                    T.StructField(c, _struct(f"at timestamp, by string, value {kind}"))
+                    for c, kind in {
+                        **dict.fromkeys(("username", "email", "role", "organization_name", "region", "phone_number"), "string"),
+                        "enabled": "boolean",
+                        **dict.fromkeys(("created_at", "updated_at", "last_login_at"), "timestamp"),
+                    }.items()
+                ),
+            ]
+        ),
+        key=("user_id",),
+    ),
+    Table(
+        "notification_reads",
+        _struct("notification_id string, read_at timestamp"),
+        key=("notification_id",),
+    ),
+    *(
+        Table(
+            f"{name}_state",
+            _struct("day timestamp, event_type string, measure string, value string, n bigint, total decimal(28,6)"),
+            key=("day", "event_type", "measure", "value"),
+            time="day",
+        )
+        for name in ("mv_trades_daily", "mv_issuance_daily", "mv_payments_daily", "mv_user_activity_daily")
+    ),
 ]
 TABLES: dict[str, Table] = {t.name: t for t in _TABLES}
 

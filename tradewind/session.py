@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 # Settings that change results or survive-at-scale behaviour. Sizes (executors,
 # memory, shuffle partitions) stay with whoever submits the job.
 SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -20,13 +19,22 @@ def build_session(app: str = "tradewind", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **SESSION, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+# What the library itself sets in a session it is given: the zone of days and hours, row counts from Parquet footers, and
+# state that may outgrow memory.
+SESSION = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session zone: days and hours in every report are UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in SESSION.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark

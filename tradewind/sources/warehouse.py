@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import month_column, month_of
+from ..operators import maintenance, notifications, upserts
 from ..operators.refreshes import folded
-from ..operators.rollups import ROLLUPS
+from ..operators.rollups import ROLLUPS, Rollup, shared, shares
 from ..schemas import TABLES, conform
 from .tables import Tables
 
@@ -32,7 +33,10 @@ UNDATED = "all"
 POINTERS = "_commits"
 INTAKE, REFRESH = "intake", "refresh"
 INPUTS = "inputs of "  # begins the marks of the refresh job
-REFRESH_TABLES = {*ROLLUPS, "mv_refresh_log"}
+REFRESH_TABLES = {*ROLLUPS, *(r.state for r in ROLLUPS.values()), "mv_refresh_log"}
+USERS_FOLDED = "user changes folded into"  # mark: the folder that has each of its users once
+# Facts whose rows were once written in a currency that is read as another since.
+RESTATED = ("fact_trade", "fact_payment")
 
 # A report may read a folder this long after it was replaced; vacuum refuses anything shorter than the least.
 KEEP = timedelta(days=1)
@@ -165,9 +169,32 @@ class Warehouse(Tables):
 
     def load(self, name: str, floor: datetime | None = None, state: State | None = None) -> DataFrame:
         """Only the folders of months that can hold rows from ``floor`` on are listed and read."""
+        state = state or self.state()
         first = month_of(floor) if floor is not None and TABLES[name].time else None
-        rows = self.folders_as_table(name, (state or self.state()).folders(name, first))
-        return folded(rows) if name == "mv_refresh_log" else rows
+        if name == "dim_users":
+            return self._users(state)
+        rows = self.folders_as_table(name, state.folders(name, first))
+        if name == "mv_refresh_log":
+            return folded(rows)
+        if name == "system_notifications" and (reads := state.folders("notification_reads")):
+            return notifications.with_receipts(rows, self.folders_as_table("notification_reads", reads))
+        return rows
+
+    def _users(self, state: State) -> DataFrame:
+        """Users as all changes leave them. Those that no folder since the last folding changed are read as they lie."""
+        plain, folders = state.folders("dim_users"), state.folders("dim_user_changes")
+        # A user is in at most one of the plain rows and the folded ones: folding takes the former away.
+        once = [f for f in folders if f == state.marks.get(USERS_FOLDED) and not plain]
+        if plain or not once:
+            quiet = upserts.as_changes(self.folders_as_table("dim_users", plain))
+        else:
+            quiet = self.folders_as_table("dim_user_changes", once)
+        if len(once) == len(folders):
+            return upserts.users(quiet)
+        recent = self.folders_as_table("dim_user_changes", [f for f in folders if f not in once])
+        touched = recent.select("user_id").distinct()
+        changed = upserts.fold_changes(quiet.join(touched, "user_id", "left_semi").unionByName(recent))
+        return upserts.users(quiet.join(touched, "user_id", "left_anti").unionByName(changed))
 
     def folders_as_table(self, name: str, folders: list[str]) -> DataFrame:
         """Rows as they are stored, in today's layout: a column that was renamed since is read under its old name too."""
@@ -176,7 +203,8 @@ class Warehouse(Tables):
             return self.spark.createDataFrame([], spec.schema)
         paths = [f"{self.root}/{f}" for f in folders]
         if not spec.renames:
-            return self.spark.read.schema(spec.schema).parquet(*paths)
+            rows = self.spark.read.schema(spec.schema).parquet(*paths)
+            return maintenance.normalize_currency(rows) if name in RESTATED else rows
         both = T.StructType([*spec.schema.fields, *(T.StructField(old, spec.schema[new].dataType) for old, new in spec.renames.items())])
         rows = self.spark.read.schema(both).parquet(*paths)
         return rows.select(*(F.coalesce(f.name, *(old for old, new in spec.renames.items() if new == f.name)).alias(f.name) for f in spec.schema.fields))
@@ -185,9 +213,69 @@ class Warehouse(Tables):
         """The stored rollup as of its last refresh."""
         return self.read(name, after=after)
 
-    def newest(self, name: str, n: int, where: Column | None = None) -> DataFrame:
+    def size(self, name: str) -> DataFrame:
+        """One row, ``n``: the rows of a table that is read as it is stored. Counts come from the files' footers."""
+        folders = self.state().folders(name)
+        if not folders:
+            return self.spark.createDataFrame([(0,)], "n bigint")
+        # Only the newer reader takes counts from footers; which one is used is settled when the frame is made.
+        listed, conf = "spark.sql.sources.useV1SourceList", self.spark.conf
+        before = conf.get(listed)
+        conf.set(listed, "")
+        try:
+            rows = self.spark.read.schema(TABLES[name].schema).parquet(*(f"{self.root}/{f}" for f in folders))
+        finally:
+            conf.set(listed, before)
+        return rows.agg(F.count(F.lit(1)).alias("n"))
+
+    def totals(self, name: str) -> DataFrame:
+        """From the stored rollup, and the folders that came or went since it was refreshed; other rows are not read."""
+        spec = next(r for r in ROLLUPS.values() if r.fact == name and r.where is None)
+        state = self.state()
+        came, went = self.changed_folders(spec, state)
+        if not state.folders(spec.state) or not self.present(went):
+            return super().totals(name)
+        total = F.col(spec.total) if spec.total else F.lit(None).cast("decimal(28,6)")
+        both = self.load(spec.name, state=state).select(F.col(spec.count).alias("n"), total.alias("total"))
+        for folders, sign in ((came, 1), (went, -1)):
+            if folders:
+                one = self.summed(spec, self.folders_as_table(name, folders))
+                both = both.unionAll(one.select(F.col("n") * sign, (F.col("total") * sign).cast("decimal(28,6)")))
+        return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").cast("decimal(28,6)").alias("total"))
+
+    def totals_by(self, name: str, column: str) -> DataFrame:
+        """From the stored state, likewise."""
+        spec = next(r for r in ROLLUPS.values() if r.fact == name and column in r.shares)
+        state = self.state()
+        came, went = self.changed_folders(spec, state)
+        if not state.folders(spec.state) or not self.present(went):
+            return super().totals_by(name, column)
+        both = self.load(spec.state, state=state)
+        for folders, sign in ((came, 1), (went, -1)):
+            if folders:
+                both = both.unionByName(shares(self.folders_as_table(name, folders), spec, column, sign))
+        return shared(both, spec, column)
+
+    def months(self, name: str) -> DataFrame:
+        """From the folders' names; no row is read."""
+        months = [(m,) for m in sorted(self.state().tables.get(name, {})) if m != UNDATED]
+        return self.spark.createDataFrame(months, "month string")
+
+    def changed_folders(self, spec: Rollup, state: State) -> tuple[list[str], list[str]]:
+        """Folders of a rollup's fact that came and that went since its last refresh. Months without any folder left do not count."""
+        now, before = state.tables.get(spec.fact, {}), state.marks.get(f"{INPUTS}{spec.name}", {})
+        new, old = ({f for m in months if m in now for f in months[m]} for months in (now, before))
+        return sorted(new - old), sorted(old - new)
+
+    def present(self, folders: list[str]) -> bool:
+        """Whether the folders are still there, although nothing names them any more."""
+        return all(self.files.names(f"{self.root}/{f}") for f in folders)
+
+    def newest(self, name: str, n: int, where: Column | None = None, until: datetime | None = None) -> DataFrame:
         """Month by month from the newest on, until ``n`` rows are found; older folders are not listed or read."""
         months = dict(self.state().tables.get(name, {}))
+        if until is not None:
+            months = {m: f for m, f in months.items() if m <= month_of(until)}
         folders, found = [], 0
         for month in [UNDATED, *sorted(months.keys() - {UNDATED}, reverse=True)]:
             if found >= n:
@@ -256,14 +344,13 @@ class Transaction:
         if spec.time is None:
             rows.hint("rebalance").write.parquet(path)
             return {UNDATED: home}
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.lookups}
         # REBALANCE lets AQE split a month that holds most rows over many tasks and merge small ones,
         # so neither a backfill nor a trickle ends in one huge task or in many tiny files.
-        (
-            rows.withColumn("month", F.coalesce(month_column(spec.time), F.lit(UNDATED)))
-            .hint("rebalance", "month")
-            .write.partitionBy("month")
-            .parquet(path)
-        )
+        by_month = rows.withColumn("month", F.coalesce(month_column(spec.time), F.lit(UNDATED))).hint("rebalance", "month")
+        if spec.lookups:
+            by_month = by_month.sortWithinPartitions("month", spec.lookups[0])
+        by_month.write.options(**blooms).partitionBy("month").parquet(path)
         written = [n for n in self.warehouse.files.names(path) if n.startswith("month=")]
         return {n.split("=", 1)[1]: f"{home}/{n}" for n in written}
 
@@ -299,12 +386,12 @@ class Transaction:
     def drop_months(self, table: str, months: list[str]) -> None:
         self.use(table, {m: f for m, f in self.months(table).items() if m not in months})
 
-    def compact(self, table: str, least: int = 2) -> None:
-        """Merge the folders of months that have gathered at least ``least`` of them."""
+    def compact(self, table: str, least: int = 2, merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Merge the folders of months that have gathered at least ``least`` of them; ``merge`` puts their rows together."""
         found = {m: f for m, f in self.months(table).items() if len(f) >= max(least, 2)}
         if found:
-            folders = [f for fs in found.values() for f in fs]
-            self.replace(table, self.warehouse.folders_as_table(table, folders), list(found))
+            rows = self.warehouse.folders_as_table(table, [f for fs in found.values() for f in fs])
+            self.replace(table, merge(rows) if merge else rows, list(found))
 
     def mark(self, name: str, value: object) -> None:
         self.state.marks[name] = value

@@ -178,9 +178,14 @@ def test_gauges_come_from_rollups_and_what_came_since(spark, warehouse, monkeypa
     tx.replace_folders("fact_trade", [folder], warehouse.folders_as_table("fact_trade", [folder]).limit(1))
     tx.commit()
     wanted = gauges(Scanned(warehouse))
+    tx = warehouse.begin()  # and a month goes
+    (gone,) = warehouse.state().tables["fact_issuance"]["2023-11"][:1]
+    tx.drop_months("fact_issuance", ["2023-11"])
+    tx.commit()
+    assert wanted != (wanted := gauges(Scanned(warehouse)))
     found = reads(monkeypatch, "fact_trade", "fact_issuance")
     assert gauges(warehouse) == wanted
-    assert found and set(found) & old == {folder}  # the one that went; no other old folder
+    assert found and gone not in found and set(found) & old == {folder}  # the one that was replaced; no other old folder
 
 
 def test_counts_come_from_footers(spark, warehouse):

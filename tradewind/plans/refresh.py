@@ -95,13 +95,12 @@ def _refresh_by_states(warehouse: Warehouse, tx: Transaction, spec: Rollup) -> N
     mark = f"{INPUTS}{spec.name}"
     now = tx.state.tables.get(spec.fact, {})
     came, went = warehouse.changed_folders(spec, tx.state)
-    if not came and not went:
-        return
     # Whole months that went (retention) need no arithmetic.
     left = [m for m in tx.state.marks.get(mark, {}) if m not in now]
+    if not came and not went and not left:
+        return
     tx.drop_months(spec.name, left)
     tx.drop_months(spec.state, left)
-    went = [f for f in went if not any(f in tx.state.marks[mark][m] for m in left)]
     if not tx.state.marks.get(mark) or not tx.state.folders(spec.state) or not warehouse.present(went):
         _forget_state(tx, spec)
         tx.use(spec.name, {})

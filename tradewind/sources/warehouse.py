@@ -236,7 +236,7 @@ class Warehouse(Tables):
         if not state.folders(spec.state) or not self.present(went):
             return super().totals(name)
         total = F.col(spec.total) if spec.total else F.lit(None).cast("decimal(28,6)")
-        both = self.load(spec.name, state=state).select(F.col(spec.count).alias("n"), total.alias("total"))
+        both = self._left_of(spec.name, spec, state).select(F.col(spec.count).alias("n"), total.alias("total"))
         for folders, sign in ((came, 1), (went, -1)):
             if folders:
                 one = self.summed(spec, self.folders_as_table(name, folders))
@@ -250,7 +250,7 @@ class Warehouse(Tables):
         came, went = self.changed_folders(spec, state)
         if not state.folders(spec.state) or not self.present(went):
             return super().totals_by(name, column)
-        both = self.load(spec.state, state=state)
+        both = self._left_of(spec.state, spec, state)
         for folders, sign in ((came, 1), (went, -1)):
             if folders:
                 both = both.unionByName(shares(self.folders_as_table(name, folders), spec, column, sign))
@@ -261,6 +261,11 @@ class Warehouse(Tables):
         months = [(m,) for m in sorted(self.state().tables.get(name, {})) if m != UNDATED]
         return self.spark.createDataFrame(months, "month string")
 
+    def _left_of(self, name: str, spec: Rollup, state: State) -> DataFrame:
+        """A rollup's rows or state, in the months its fact still has."""
+        months = state.tables.get(spec.fact, {})
+        return self.folders_as_table(name, [f for m, fs in state.tables.get(name, {}).items() if m in months for f in fs])
+
     def changed_folders(self, spec: Rollup, state: State) -> tuple[list[str], list[str]]:
         """Folders of a rollup's fact that came and that went since its last refresh. Months without any folder left do not count."""
         now, before = state.tables.get(spec.fact, {}), state.marks.get(f"{INPUTS}{spec.name}", {})

@@ -1,6 +1,10 @@
 """A training corpus from ``documents``: good texts, one of each group of near-duplicates, without benchmark passages and secrets, packed.
 
 Every stage takes all its predecessor kept, written as Parquet and read again; all but the last return the columns of documents.
+Null, empty and very long texts, repeated rows and null doc_ids are as in the stages' operators: texts without words are kept by the first four stages and
+packed as an end id alone; rows that repeat an id and a text become one; rows without doc_id count as rows of one id. Other columns pass unchanged, whatever their
+names; an empty table gives none.
+
 The quality model learns from ``labels``, as its query does; the benchmark is the whole ``benchmark`` table.
 """
 
@@ -11,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.llm import decontaminate, jaccard_tree, knn_quality, packing, secrets
-from tradewind.llm.shared import shared_folder, stored
+from tradewind.llm.shared import shared_folder, stored, unused
 from tradewind.llm.tokenizing import default_vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,7 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return secrets.masked(secrets.spans(docs)).select(docs.columns)
+    found = unused(docs, "secret_spans")
+    return secrets.masked(secrets.spans(docs, into=found), spans=found).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ def test_round_trip(spark, least):
         expected.append((page, n, digest(html), "revisit" if revisit else "response", smallest if revisit else None))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert by(got, *names) == by([dict(zip(names, e)) for e in expected], *names)
+    assert len({r["record_id"] for r in got}) == len(rows)  # repeated pages are records of their own
 
 
 def test_no_pages(spark):

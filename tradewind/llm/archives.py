@@ -216,15 +216,16 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> tuple
     return "\r\n".join(lines).encode() + b"\r\n\r\n", block, b"\r\n\r\n"
 
 
-def record_name(page_id: int | None, arc: str, number: int) -> str:
-    return f"page/{page_id}" if page_id is not None else f"{arc.rpartition('/')[2]}#{number}"
+def record_name(arc: str, number: int) -> str:
+    """A record's own place, as pages may be there several times."""
+    return f"{arc.rpartition('/')[2]}#{number}"
 
 
-def converted(record: ArcRecord, arc: str, original: int | None) -> tuple[bytes, bytes, bytes]:
-    """The WARC record of an ARC record. original: the page whose payload it repeats."""
+def converted(record: ArcRecord, arc: str, original: tuple[int, str, int] | None) -> tuple[bytes, bytes, bytes]:
+    """The WARC record of an ARC record. original: the page whose payload it repeats, its archive and number there."""
     http = record.http
     page = page_of(http[0]) if http else None
-    common = [("WARC-Record-ID", urn(record_name(page, arc, record.number))), ("WARC-Date", iso_date(record.date))]
+    common = [("WARC-Record-ID", urn(record_name(arc, record.number))), ("WARC-Date", iso_date(record.date))]
     if record.number == 0 and record.url.startswith("filedesc:"):
         block = f"software: tradewind\r\nformat: WARC File Format 1.1\r\ndescription: converted from {record.url}\r\n".encode()
         return warc_record("warcinfo", [*common, ("Content-Type", "application/warc-fields")], block)
@@ -233,9 +234,9 @@ def converted(record: ArcRecord, arc: str, original: int | None) -> tuple[bytes,
         return warc_record("resource", [*common, ("Content-Type", "text/dns" if record.url.startswith("dns:") else record.kind)], record.body)
     head, payload = http
     common += [("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"), ("Content-Type", "application/http; msgtype=response")]
-    if original is None or original == page:
+    if original is None or original[0] == page:
         return warc_record("response", common, record.body)
-    common += [("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", urn(record_name(original, "", 0))), ("X-Refers-To-Page-Id", str(original)), ("X-Payload-Length", str(len(payload)))]
+    common += [("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", urn(record_name(*original[1:]))), ("X-Refers-To-Page-Id", str(original[0])), ("X-Payload-Length", str(len(payload)))]
     return warc_record("revisit", common, head + b"\r\n\r\n")
 
 
@@ -247,15 +248,16 @@ def convert(spark: SparkSession, archives: DataFrame, folder: str, least_bytes:
     """
     found = stored(captures(archives), f"{folder}/captures")
     repeated = found.where((F.col("payload_bytes") >= least_bytes) & F.col("payload_digest").isNotNull())
-    repeated = repeated.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = repeated.groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "path", "number"))).alias("first"), F.count("*").alias("n"))
+    repeated = repeated.where("n > 1").select("payload_digest", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("page_id", "path", "number")))
     repeated = stored(repeated, f"{folder}/repeated")
-    decided = found.join(repeated, "payload_digest", "left").select("path", "number", "original")
+    decided = found.join(repeated, "payload_digest", "left").select("path", "number", "first_page_id", "first_path", "first_number")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, records, stream, out = None, None, None, None
         for part in parts:
-            originals = part["original"].astype("Int64")
-            for path, number, original in zip(part["path"], part["number"].tolist(), originals.array):
+            firsts = part[["first_page_id", "first_path", "first_number"]].astype({"first_page_id": "Int64", "first_number": "Int64"})
+            for path, number, first in zip(part["path"], part["number"].tolist(), firsts.itertuples(index=False)):
                 if path != at:
                     if out:
                         yield pd.DataFrame([out.close()], columns=["path", "records"])
@@ -265,7 +267,7 @@ def convert(spark: SparkSession, archives: DataFrame, folder: str, least_bytes:
                 record = next(records)
                 if record.number != number:
                     raise ValueError(f"{path}: record {record.number} where {number} was decided")
-                out.add(*converted(record, path, None if pd.isna(original) else int(original)))
+                out.add(*converted(record, path, None if pd.isna(first[0]) else (int(first[0]), first[1], int(first[2]))))
         if out:
             yield pd.DataFrame([out.close()], columns=["path", "records"])
             stream.close()

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -73,3 +74,26 @@ def test_words_decide_where_shapes_are_alike(spark, kind):
     model = knn_quality.fit(spark, docs, spark.createDataFrame([(i, i % 2, 0, 1) for i, _ in rows], LABELS))
     held = [r for r in knn_quality.classified(knn_quality.score(spark, docs, model)).collect() if r["held_out"]]
     assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)
+
+
+def test_scores_are_the_votes_of_the_nearest(spark):
+    """Cosines, neighbours and votes found text by text, and the projections against a plain decomposition of the whole matrix."""
+    rows, labels = corpus()
+    docs = cases.documents(spark, rows)
+    model = knn_quality.fit(spark, docs, spark.createDataFrame(labels, LABELS))
+    got = {r["doc_id"]: r["score"] for r in knn_quality.score(spark, docs, model).collect()}
+    one = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([len(t.encode())]))
+    for i, text in rows[::7]:
+        mine = model.latent(*one(text))[0].astype(float)
+        cosine = sorted(((float(v.astype(float) @ mine), *w) for v, w in zip(model.vectors, model.votes)), reverse=True)
+        kth = cosine[knn_quality.NEIGHBOURS - 1][0]
+        near = [(max(c, 0) ** knn_quality.SHARPNESS, w, y) for c, w, y in cosine if c >= kth - 1e-7]
+        wanted = sum(s * y for s, _, y in near) / sum(s * w for s, w, _ in near)
+        assert got[i] == pytest.approx(wanted, abs=1e-3)
+    texts = dict(rows)
+    x = np.concatenate([knn_quality.weights(*one(texts[i])) for i, q, *_ in labels if zlib.crc32(str(i).encode()) % 5]).astype(float)
+    assert len(x) == len(model.vectors)
+    x *= 1 + np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
+    for half, found in ((x[:, : knn_quality.WORDS], model.projections[0]), (x[:, knn_quality.WORDS :], model.projections[1])):
+        best = (np.linalg.svd(half, compute_uv=False)[: found.shape[1]] ** 2).sum()
+        assert (np.linalg.norm(half @ found) ** 2) == pytest.approx(best, rel=0.05)  # a few rounds of iteration miss part of the last directions

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.llm.words import blocks
+
 SHARE = 0.1
 WALKS = 8  # at first
 MOST_WALKS = 64
@@ -322,16 +324,10 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield block
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    at, held, chars = 0, [], 0
-    for n, t in enumerate(texts):
-        if held and chars + len(t or "") > BLOCK_CHARS:
-            yield at, held
-            at, held, chars = n, [], 0
-        held.append(t or "")
-        chars += len(t or "")
-    if held:
-        yield at, held
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a bounded number of bytes, or one text; a batch's texts are never all at hand as Python strings."""
+    for at, some in blocks(texts, BLOCK_CHARS):
+        yield at, some.to_pylist()
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -345,7 +341,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: flo
             items = shared.value
             for batch in batches:
                 ids = batch.column("doc_id")
-                for at, texts in _blocks(batch.column("text").to_pylist()):
+                for at, texts in _blocks(batch.column("text")):
                     found = items.search(texts)
                     columns = list(zip(*found)) or [[]] * 5
                     rows = [ids.take(pa.array([at + n for n in columns[0]], pa.int64())), pa.array([items.ids[k] for k in columns[1]], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())]
@@ -363,7 +359,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sh
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for at, texts in _blocks(batch.column("text").to_pylist()):
+                for at, texts in _blocks(batch.column("text")):
                     keep[[at + n for n, *_ in shared.value.search(texts)]] = False
                 yield batch.filter(pa.array(keep))
 

@@ -35,7 +35,7 @@ NEIGHBOURS = 25
 SHARPNESS = 8
 THRESHOLD = 0.3
 BLOCK_BYTES = 4_000_000
-BLOCK_DOCS = 512
+BLOCK_DOCS = 192
 
 SHAPES = 16**3
 REPEATS = SHAPES  # the number of the last of the shapes' terms
@@ -192,12 +192,42 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def decompose(x: np.ndarray, dims: int, rounds: int = 4) -> np.ndarray:
-    """Leading right singular vectors by subspace iteration from a fixed start."""
-    basis = np.random.default_rng(7).standard_normal((x.shape[1], dims + 8)).astype(np.float32)
+@dataclass
+class Sample:
+    """Weights of the labelled texts' terms, those above zero only: the terms of all texts one after the other, and where each text's end."""
+
+    used: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def parts(self, first: int, last: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """Columns first to last as plain rows, a few texts at a time."""
+        for lo in range(0, len(self), BLOCK_DOCS):
+            hi = min(lo + BLOCK_DOCS, len(self))
+            begin = self.ends[lo - 1] if lo else 0
+            row = np.repeat(np.arange(hi - lo), np.diff(self.ends[lo:hi], prepend=begin))
+            term = self.used[begin : self.ends[hi - 1]].astype(np.int64)
+            inside = (term >= first) & (term < last)
+            out = np.zeros((hi - lo, last - first), np.float32)
+            out[row[inside], term[inside] - first] = self.values[begin : self.ends[hi - 1]][inside]
+            yield slice(lo, hi), out
+
+    def times(self, first: int, last: int, matrix: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ matrix for _, x in self.parts(first, last)])
+
+
+def decompose(sample: Sample, first: int, last: int, dims: int, rounds: int = 4) -> np.ndarray:
+    """Leading right singular vectors of the sample's columns first to last, by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(7).standard_normal((last - first, dims + 8)).astype(np.float32)
     for _ in range(rounds):
-        basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
+        grown = np.zeros_like(basis)
+        for _, x in sample.parts(first, last):
+            grown += x.T @ (x @ basis)
+        basis, _ = np.linalg.qr(grown)
+    _, _, right = np.linalg.svd(sample.times(first, last, basis), full_matrices=False)
     return (basis @ right.T)[:, :dims].astype(np.float32)
 
 
@@ -226,16 +256,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     quality = np.array([r["quality"] for r in found], np.float64)
     if not len(found):
         return Model(np.ones(TERMS, np.float32), (np.zeros((WORDS, 1), np.float32), np.zeros((TERMS - WORDS, 1), np.float32)), np.empty((0, 2), np.float32), np.empty((0, 2)), prior)
-    x = np.zeros((len(found), TERMS), np.float32)
-    for row, r in zip(x, found):
-        row[np.frombuffer(r["used"], "<u2")] = np.frombuffer(r["weights"], "<f4")
-    idf = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))).astype(np.float32)
-    x *= idf
-    projections = decompose(x[:, :WORDS], min(dims, len(x))), decompose(x[:, WORDS:], min(dims, len(x)))
+    used = np.frombuffer(b"".join(r["used"] for r in found), "<u2")
+    values = np.frombuffer(b"".join(r["weights"] for r in found), "<f4")
+    sample = Sample(used, values, np.cumsum([len(r["used"]) // 2 for r in found]))
+    del found
+    idf = (1 + np.log((1 + len(sample)) / (1 + np.bincount(used, minlength=TERMS)))).astype(np.float32)
+    sample.values = values * idf[used]
+    halves, dims = ((0, WORDS), (WORDS, TERMS)), min(dims, len(sample))
+    projections = tuple(decompose(sample, *h, dims) for h in halves)
     weight = np.where(quality == 1, prior / max(quality.mean(), 1e-9), (1 - prior) / max(1 - quality.mean(), 1e-9))
     votes = np.stack([weight, weight * quality], axis=1)
-    shapes, words = apart(x, projections)
+    shapes, words = (unit(sample.times(*h, p)) for h, p in zip(halves, projections))
     mix = mixed(shapes, words, votes, prior)
+    give_back()
     return Model(idf, projections, joined(shapes, words, mix), votes, prior, mix)
 
 
@@ -247,6 +280,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores = [shared.value.score(raw, ends) for _, raw, ends in blocks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())], ["doc_id", "score"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
@@ -264,5 +298,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
         for batch in batches:
             scores = [shared.value.score(raw, ends) for _, raw, ends in blocks(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate([*scores, np.empty(0)]) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

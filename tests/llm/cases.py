@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that operators use inside, as extra columns of a table.
-CLASHING = ["bucket", "blob", "block", "number", "label", "node", "score", "part", "n", "start", "end", "sequence_id", "component", "rank"]
+CLASHING = [
+    "bucket", "blob", "block", "number", "label", "node", "score", "part", "n", "start", "end", "sequence_id", "component", "rank",
+    "gone", "repeated", "decided_id", "stays", "times", "secret_spans", "secret_assign", "secret_base", "spans_base", "spans_assign", "spans_random",
+    "quality", "features", "n_words", "weight", "chosen", "place", "before", "piece", "length", "offset", "ids", "found", "predicted", "held_out",
+]
 
 
 def words(rng: random.Random, n: int, pool: int = 400) -> str:

@@ -4,6 +4,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from tests.llm import cases
 from tests.llm.test_jaccard_tree import brute
 from tests.llm.test_secrets import base
 from tests.llm.test_token_files import ids_of
@@ -58,3 +59,25 @@ def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() > 0
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, columns with names that the stages use inside; every stage on its predecessor's rows."""
+    rows = cases.texts() + [(90, "x = 'y'; password: " + "aB3" * 5 + " end. " * 30)]
+    docs, folder = cases.documents(spark, rows, extra=True), shared.shared_folder(spark, "test-awkward")
+    columns, extras, given = docs.columns, cases.CLASHING, docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = shared.stored(stage(spark, docs, FOLDER), f"{folder}/{n}")
+        if n < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+            kept = docs.select("doc_id", "text", *extras).collect()
+            assert all(r[c] == "1" for r in kept for c in extras)
+            assert {r["doc_id"] for r in kept} <= {i for i, _ in rows}
+    by_id = {}
+    for r in docs.collect():
+        by_id.setdefault(r["doc_id"], []).append(r)
+    assert {70, 71, 72} & set(by_id) in ({70, 71, 72}, set())  # without words: all alike
+    assert all(sum(p["length"] for p in by_id[i]) == 1 for i in (70, 71) if i in by_id)  # an end id alone
+    empty = given.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, FOLDER).count() == 0

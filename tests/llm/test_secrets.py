@@ -4,6 +4,7 @@ import re
 import string
 
 from tests.llm import cases
+from pyspark.sql import functions as F
 from tradewind.llm import secrets
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -69,3 +70,11 @@ def test_plan_is_native_and_empty_input_gives_nothing(spark):
     plan = secrets.digest(secrets.spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert secrets.digest(secrets.spans(docs.limit(0))).collect() == []
+
+
+def test_a_text_with_very_many_matches(spark):
+    """Spans of 30,000 matches, found in blocks, are where the pattern finds them."""
+    text = " ".join(f"é{i} {i:024x}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = docs.select(secrets.base_spans(F.col("text"))["hex"].alias("hex")).first()["hex"]
+    assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm.graph import components, contracted
-from tradewind.llm.shared import bucket_count, by_bucket, few, give_back, per_bucket, stored
+from tradewind.llm.shared import bucket_count, by_bucket, few, give_back, per_bucket, stored, unused
 from tradewind.llm.words import blocks, shingles
 
 WORDS = 5
@@ -456,10 +456,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str, words: int =
     found = stored(groups(spark, docs, folder, words), f"{folder}/found")
     stays = F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())
     by_id = stored(found.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count("*").alias("times")), f"{folder}/decided")
-    gone = by_id.where("NOT stays").select(F.col("doc_id").alias("gone"))
-    kept = docs.join(few(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = by_id.where("stays AND times > 1").select(F.col("doc_id").alias("repeated"))
+    other = unused(docs, "decided_id")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other))
+    gone = by_id.where("NOT stays").select(F.col("doc_id").alias(other))
+    kept = docs.join(few(gone), same, "left_anti")
+    repeated = by_id.where("stays AND times > 1").select(F.col("doc_id").alias(other))
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("repeated"))
     return kept.join(few(repeated), same, "left_anti").unionAll(kept.join(few(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))

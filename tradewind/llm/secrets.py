@@ -23,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.shared import unused
+
 # The base patterns, which must find the same spans as elsewhere.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 and more; a shorter run holds no longer one
@@ -60,22 +62,33 @@ def total(numbers: Column) -> Column:
 
 
 def located(text: Column, pattern: str, last: Column, last_type: str) -> Column:
-    """Array of (start, end, last) of a pattern's matches, leftmost first. ``last``: an array with a value for each match.
+    """Array of (start, end, last) of a pattern's matches (there is one), leftmost first. ``last``: an array with a value for each match.
 
     Matches and what stands between them take turns, so starts are sums of lengths.
     """
     between = F.transform(F.split(text, pattern, -1), F.length)
     lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,end:int,last:{last_type}>>").alias("spans"))
+    # The last piece has no match behind it; arrays_zip fills its match with null.
+    rows = F.filter(F.arrays_zip(between.alias("0"), lengths.alias("1"), last.alias("2")), lambda x: x["1"].isNotNull())
+    return let(rows, lambda r: _placed(r, f"array<struct<start:int,end:int,last:{last_type}>>"))
+
 
-    def step(acc: Column, x: Column) -> Column:
+def _placed(rows: Column, kind: str) -> Column:
+    """Rows (length before, length, last) as spans. An array is copied when it grows, so it grows in blocks of the root of their number."""
+    size = F.ceil(F.sqrt(F.size(rows))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / size).cast("int")), lambda j: F.slice(rows, j * size + 1, size))
+
+    def span(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["0"]
-        span = F.struct(begin.alias("start"), (begin + x["1"]).alias("end"), x["2"].alias("last"))
-        return F.struct((begin + x["1"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        found = F.struct(begin.alias("start"), (begin + x["1"]).alias("end"), x["2"].alias("last"))
+        return F.struct((begin + x["1"]).alias("at"), F.concat(acc["spans"], F.array(found)).alias("spans"))
 
-    # The last piece has no match behind it; arrays_zip fills its match with null.
-    rows = F.filter(F.arrays_zip(between.alias("0"), lengths.alias("1"), last.alias("2")), lambda x: x["1"].isNotNull())
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+    def block(acc: Column, rows: Column) -> Column:
+        inner = F.aggregate(rows, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("spans")), span)
+        return let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["blocks"], F.array(i["spans"])).alias("blocks")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("blocks"))
+    return F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["blocks"]))
 
 
 def spans_if(condition: Column, text: Column, pattern: str, last: Column, last_type: str = "int") -> Column:
@@ -213,12 +226,14 @@ def thresholds(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, i
     return out
 
 
-def spans(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
-    """All columns of ``docs`` and ``secret_spans``: array of (start, kind number, end) in that order, base spans and added ones."""
+def spans(docs: DataFrame, false_share: float = FALSE_SHARE, into: str = "secret_spans") -> DataFrame:
+    """All columns of ``docs`` and ``into``: array of (start, kind number, end) in that order, base spans and added ones."""
     limits = thresholds(docs, false_share)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     least = F.lit(BINS + 1)
-    rows = docs.withColumns({f"secret_{k}": c for k, c in base_spans(text).items()} | {"secret_random": scored_runs(text)})
+    by_kind = {k: unused(docs, f"spans_{k}") for k in KINDS}
+    both = unused(docs, "spans_base")
+    rows = docs.withColumns({by_kind[k]: c for k, c in base_spans(text).items()} | {by_kind["random"]: scored_runs(text)})
 
     def found(run: Column) -> Column:
         at_least = least
@@ -226,11 +241,10 @@ def spans(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
             at_least = F.when(run["band"] == b, F.lit(k)).otherwise(at_least)
         return run["bin"] >= at_least
 
-    base = F.concat(*(_as_spans(F.col(f"secret_{k}"), n) for n, k in enumerate(KINDS[:3])))
-    rows = rows.withColumn("secret_base", base)
-    added = F.filter("secret_random", lambda r: found(r) & ~F.exists("secret_base", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
-    rows = rows.withColumn("secret_spans", F.array_sort(F.concat("secret_base", _as_spans(added, 3))))
-    return rows.drop("secret_base", *(f"secret_{k}" for k in KINDS))
+    rows = rows.withColumn(both, F.concat(*(_as_spans(F.col(by_kind[k]), n) for n, k in enumerate(KINDS[:3]))))
+    added = F.filter(by_kind["random"], lambda r: found(r) & ~F.exists(both, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
+    rows = rows.withColumn(into, F.array_sort(F.concat(both, _as_spans(added, 3))))
+    return rows.drop(both, *by_kind.values())
 
 
 def _as_spans(array: Column, kind: int) -> Column:
@@ -253,8 +267,8 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(F.col("doc_id").cast("long"), *counts, base.alias("base_sha256"), joined(found).alias("spans"))
 
 
-def masked(scanned: DataFrame, by: str = "[SECRET]") -> DataFrame:
-    """The rows with each span, overlapping ones as one, replaced in the text; ``n_chars`` follows where there is one."""
+def masked(scanned: DataFrame, by: str = "[SECRET]", spans: str = "secret_spans") -> DataFrame:
+    """The rows with each span, overlapping ones as one, replaced in the text; ``n_chars`` follows where there is one. Column ``spans`` goes."""
     text = F.col("text")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
@@ -264,8 +278,8 @@ def masked(scanned: DataFrame, by: str = "[SECRET]") -> DataFrame:
         done = F.when(s["start"] >= acc["at"], F.concat(acc["done"], between, F.lit(by))).otherwise(acc["done"])
         return F.struct(done.alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scanned.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = scanned.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text))
     if "n_chars" in scanned.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("secret_spans")
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(spans)

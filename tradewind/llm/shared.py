@@ -20,9 +20,11 @@ _UNSET: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Only where that is unset, as in tests, a local one."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Only where that is unset, and all runs in one process as in tests, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _UNSET.get("base")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
         base = _UNSET["base"] = tempfile.mkdtemp(prefix="tradewind-llm-")
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
@@ -52,6 +54,14 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def one_file_each(files: DataFrame, by: str) -> DataFrame:
     """A manifest dealt out so that each of its files is read by a task of its own, however small the manifest."""
     n = max(1, files.count())

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.llm.shared import give_back
 from tradewind.llm.words import blocks
 
 SHARE = 0.1
@@ -338,6 +339,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: flo
         shared = spark.sparkContext.broadcast(Items(block, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()  # what an earlier task of this worker left
             items = shared.value
             for batch in batches:
                 ids = batch.column("doc_id")
@@ -357,6 +359,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sh
         shared = spark.sparkContext.broadcast(Items(block, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for at, texts in _blocks(batch.column("text")):

@@ -54,6 +54,17 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+ARROW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Has this session send rows to Python workers in batches of at most ``rows`` (a few megabytes of texts): both sides of the pipe hold a batch or two, and keep
+    what they once needed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column has it."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.llm import decontaminate, jaccard_tree, knn_quality, packing, secrets
-from tradewind.llm.shared import shared_folder, stored, unused
+from tradewind.llm.shared import shared_folder, small_batches, stored, unused
 from tradewind.llm.tokenizing import default_vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,16 +23,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents (score below 0.3) go."""
+    small_batches(spark)
     return knn_quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of five-word Jaccard 0.75 and more, the document with the smallest doc_id stays."""
+    small_batches(spark)
     return jaccard_tree.one_of_each(spark, docs, shared_folder(spark, "pipeline-near-duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
+    small_batches(spark)
     return decontaminate.without_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -44,6 +47,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1,024 tokens and their places in sequences."""
+    small_batches(spark)
     return packing.digest(packing.pack(spark, docs, shared_folder(spark, "pipeline-packing"), default_vocabulary()))
 
 

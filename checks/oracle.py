@@ -298,24 +298,28 @@ SELECT stream, routing_key, COUNT(*) AS messages FROM (
     "src_parse_user": """
 SELECT event_id AS "eventId", 'USER' AS "eventType", 'auth-service' AS source, sent AS "timestamp",
   correlation AS "correlationId", who AS "userId", username, email, role, region, enabled, action,
-  phone AS "phoneNumber" FROM user_messages""",
+  phone AS "phoneNumber",
+  CAST(NULL AS VARCHAR) AS "ipAddress", CAST(NULL AS VARCHAR) AS "userAgent", CAST(NULL AS VARCHAR) AS "organizationName", CAST(NULL AS VARCHAR) AS "vehicleMake", CAST(NULL AS VARCHAR) AS "vehicleModel" FROM user_messages""",
     "src_parse_trade": f"""
 SELECT event_id AS "eventId", 'TRADE' AS "eventType", 'marketplace-service' AS source, sent AS "timestamp",
   correlation AS "correlationId", who AS "userId", order_id AS "orderId", listing AS "listingId",
   buyer_text AS "buyerId", seller_text AS "sellerId", {num("quantity")} AS quantity, unit AS "quantityUnit",
   {num("unit_price")} AS "unitPrice", {num("amount")} AS amount, currency, status AS "orderStatus",
-  status_at AS "statusChangedAt", is_auction AS "isAuction" FROM trade_messages""",
+  status_at AS "statusChangedAt", is_auction AS "isAuction",
+  CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS "auctionId" FROM trade_messages""",
     "src_parse_issuance": f"""
 SELECT event_id AS "eventId", 'ISSUANCE' AS "eventType", 'carbon-service' AS source, sent AS "timestamp",
   correlation AS "correlationId", who AS "userId", issuance_id AS "issuanceId", request_id AS "requestId",
   vehicle AS "vehicleId", {num("quantity")} AS "quantityTco2e", {num("distance")} AS "distanceKm",
-  {num("energy")} AS "energyKwh", {num("avoided")} AS "co2AvoidedKg", status FROM issuance_messages""",
+  {num("energy")} AS "energyKwh", {num("avoided")} AS "co2AvoidedKg", status,
+  CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS "vehicleMake", CAST(NULL AS VARCHAR) AS "vehicleModel", CAST(NULL AS VARCHAR) AS "vehicleType" FROM issuance_messages""",
     "src_parse_payment": f"""
 SELECT event_id AS "eventId", 'PAYMENT' AS "eventType", 'payment-service' AS source, sent AS "timestamp",
   correlation AS "correlationId", who AS "userId", payment_id AS "paymentId", order_id AS "orderId",
   who AS "payerId", {num("amount")} AS amount, 'VND' AS currency, status, method AS "paymentMethod",
   CASE WHEN s = 'O' AND k % 7 <> 0 THEN sent END AS "initiatedAt", CASE WHEN s = 'F' THEN sent END AS "completedAt",
-  CASE WHEN s = 'P' THEN sent END AS "failedAt", error AS "errorMessage" FROM payment_messages""",
+  CASE WHEN s = 'P' THEN sent END AS "failedAt", error AS "errorMessage",
+  CAST(NULL AS VARCHAR) AS "payeeId", CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS "errorCode" FROM payment_messages""",
     "scan_fact_window": f"""
 SELECT order_id, executed_at, {num("amount")} AS amount FROM fact_trade WHERE executed_at > {ago(30)}""",
     "sink_fact_by_month": """
@@ -373,12 +377,14 @@ _ORACLE |= {
 SELECT CAST(l_orderkey AS VARCHAR) AS order_id, sent AS executed_at, o_custkey AS buyer_id, l_suppkey AS seller_id,
   {num("l_quantity")} AS quantity, {num("l_tax")} AS unit_price, {num("l_extendedprice")} AS amount,
   'tCO2e' AS unit, 'VND' AS currency, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS region,
-  l_linestatus AS order_status, false AS is_auction FROM r WHERE down = 1""",
+  l_linestatus AS order_status, false AS is_auction,
+  CAST(NULL AS VARCHAR) AS listing_id, CAST(NULL AS TIMESTAMP) AS status_changed_at FROM r WHERE down = 1""",
     "upsert_payment": f"""{_LINES}
 SELECT concat('pay-', a.l_orderkey) AS payment_id, a.sent AS completed_at, CAST(a.l_partkey AS VARCHAR) AS order_id,
   {num("a.l_extendedprice")} AS amount, CASE WHEN a.l_suppkey % 2 = 0 THEN 'VND' ELSE 'USD' END AS currency,
   CASE WHEN a.l_suppkey % 3 <> 0 THEN a.l_linestatus END AS payment_method, z.l_returnflag AS status,
-  CAST(z.l_suppkey AS VARCHAR) AS payer_id, CASE WHEN z.l_returnflag <> 'N' THEN z.l_returnflag END AS region
+  CAST(z.l_suppkey AS VARCHAR) AS payer_id, CASE WHEN z.l_returnflag <> 'N' THEN z.l_returnflag END AS region,
+  CAST(NULL AS VARCHAR) AS payee_id, CAST(NULL AS TIMESTAMP) AS status_changed_at
 FROM r a JOIN r z ON a.l_orderkey = z.l_orderkey AND a.sent = z.sent WHERE a.up = 1 AND z.down = 1""",
     "upsert_issuance": f"""
 WITH e AS (SELECT *, CAST(event_id AS VARCHAR) AS id, date_trunc('day', ts) AS day,
@@ -388,7 +394,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY late, ts,
 SELECT concat(CASE WHEN z.user_id % 2 = 0 THEN 'iss-' ELSE 'req-' END, z.user_id) AS issuance_id, z.day AS issued_at,
   z.user_id, CASE WHEN a.event_id % 3 <> 0 THEN concat('req-', a.event_id) END AS request_id,
   {num("z.value")} AS quantity_tco2e, CASE WHEN z.event_id % 5 <> 0 THEN {num("z.value")} END AS energy_kwh,
-  z.event_type AS status
+  z.event_type AS status,
+  CAST(NULL AS DOUBLE) AS distance_km, CAST(NULL AS DOUBLE) AS co2_avoided_kg, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS vehicle_id
 FROM r a JOIN r z ON a.user_id = z.user_id AND a.day = z.day WHERE a.up = 1 AND z.down = 1""",
 }
 

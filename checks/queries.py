@@ -94,26 +94,22 @@ def _parsed(t: FixtureTables, stream: str, messages: DataFrame) -> DataFrame:
 
 @query
 def src_parse_user(t: FixtureTables) -> DataFrame:
-    return _parsed(t, "user", FixtureMessages(t).users()).drop(
-        "ipAddress", "userAgent", "organizationName", "vehicleMake", "vehicleModel"
-    )
+    return _parsed(t, "user", FixtureMessages(t).users())
 
 
 @query
 def src_parse_trade(t: FixtureTables) -> DataFrame:
-    return _parsed(t, "trade", FixtureMessages(t).trades()).drop("region", "auctionId")
+    return _parsed(t, "trade", FixtureMessages(t).trades())
 
 
 @query
 def src_parse_issuance(t: FixtureTables) -> DataFrame:
-    return _parsed(t, "issuance", FixtureMessages(t).issuances()).drop(
-        "region", "vehicleMake", "vehicleModel", "vehicleType"
-    )
+    return _parsed(t, "issuance", FixtureMessages(t).issuances())
 
 
 @query
 def src_parse_payment(t: FixtureTables) -> DataFrame:
-    return _parsed(t, "payment", FixtureMessages(t).payments()).drop("payeeId", "region", "errorCode")
+    return _parsed(t, "payment", FixtureMessages(t).payments())
 
 
 def _fact_warehouse(t: FixtureTables, name: str, facts: tuple[str, ...] = FACTS) -> Warehouse:
@@ -278,11 +274,7 @@ def upsert_trade(t: FixtureTables) -> DataFrame:
             "order_status": F.col("l_linestatus"),
         }
     )
-    result = _in_two_loads(events, "fact_trade", F.col("l_linestatus") == "O")
-    return result.select(
-        "order_id", "executed_at", "buyer_id", "seller_id", "quantity", "unit_price", "amount", "unit", "currency",
-        "region", "order_status", "is_auction",
-    )
+    return _in_two_loads(events, "fact_trade", F.col("l_linestatus") == "O")
 
 
 @query
@@ -300,10 +292,7 @@ def upsert_payment(t: FixtureTables) -> DataFrame:
             "region": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")),
         }
     )
-    result = _in_two_loads(events, "fact_payment", F.col("l_linestatus") == "O")
-    return result.select(
-        "payment_id", "completed_at", "order_id", "amount", "currency", "payment_method", "status", "payer_id", "region"
-    )
+    return _in_two_loads(events, "fact_payment", F.col("l_linestatus") == "O")
 
 
 @query
@@ -325,8 +314,7 @@ def upsert_issuance(t: FixtureTables) -> DataFrame:
         }
     )
     late = ~F.col("event_type").isin("view", "signup")
-    result = _in_two_loads(events, "fact_issuance", late)
-    return result.select("issuance_id", "issued_at", "user_id", "request_id", "quantity_tco2e", "energy_kwh", "status")
+    return _in_two_loads(events, "fact_issuance", late)
 
 
 def _users_after(t: FixtureTables, *actions: str) -> DataFrame:

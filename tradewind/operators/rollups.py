@@ -94,9 +94,9 @@ def shared(state: DataFrame, spec: Rollup, column: str) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """States of several sets of rows as one; what is used up is left out."""
+    """States of several sets of rows as one; what is used up is left out. As many values may have come as went, with another total."""
     both = parts.groupBy("day", "event_type", "measure", "value").agg(F.sum("n").alias("n"), F.sum("total").cast(TOTAL).alias("total"))
-    return both.filter(F.col("n") != 0)
+    return both.filter((F.col("n") != 0) | (F.col("total") != 0))
 
 
 def finished(state: DataFrame, spec: Rollup) -> DataFrame:

@@ -60,7 +60,8 @@ def test_stored_facts_are_not_shuffled_by_an_upsert(spark, warehouse):
     tx.append("fact_trade", rows)
     tx.commit()
     stored = warehouse.read("fact_trade")
-    arriving = rows.filter("order_id < '3'").selectExpr("*", "executed_at AS arrived_at", "order_id AS event_id")
+    arriving = rows.filter("order_id < '3'").selectExpr("*", "executed_at AS arrived_at", "order_id AS event_id").cache()
+    arriving.count()  # as the intake does: then the size of the batch is known before the join is planned
     merged = upserts.upsert(stored, arriving, "fact_trade")
     assert merged.count() == 9
     text = plan(merged)

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks.queries import queries
+from checks.queries import all_decoded, queries
 from tests.helpers import dicts, frame
-from tradewind.operators import dedup, rollups, upserts
+from tradewind.operators import dedup, notices, rollups, upserts
 from tradewind.plans import dashboards
 from tradewind.sources.fixtures import AS_OF, FixtureTables
 
@@ -125,3 +125,18 @@ def test_aqe_splits_a_hot_key_in_a_lookup_join(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_a_filter_on_the_reason_does_not_repeat_the_checks(given):
+    rejected = all_decoded(given).filter("reason IS NOT NULL").select("reason", "event_id")
+    assert plan(rejected).count("THEN bad auction id") == 1
+
+
+def test_words_are_upper_cased_after_they_are_counted(given):
+    text = plan(notices.counters(all_decoded(given)))
+    assert "upper(" not in text[text.index("Exchange hashpartitioning") :]
+
+
+def test_payload_fields_are_read_in_one_go(spark):
+    text = plan(queries()["sink_payload_json"](spark, FOLDER))
+    assert "get_json_object(payload" not in text and text.count("json_tuple(") == 4

@@ -114,6 +114,11 @@ def _refresh_by_states(warehouse: Warehouse, tx: Transaction, spec: Rollup) -> N
     tx.append(spec.state, delta)
     written = {m: [f for f in fs if f not in before.get(m, [])] for m, fs in tx.months(spec.state).items()}
     months = [m for m, fs in written.items() if fs]
+    if not any(before.get(m) for m in months):
+        # Nothing to add to: the state written has each combination once, and no day of the rollup is kept.
+        whole = warehouse.folders_as_table(spec.state, [f for m in months for f in written[m]])
+        tx.replace(spec.name, finished(whole, spec), months)
+        return
     days = warehouse.folders_as_table(spec.state, [f for m in months for f in written[m]]).select("day").distinct()
     whole = warehouse.folders_as_table(spec.state, [f for m in months for f in tx.months(spec.state)[m]])
     fresh = finished(merged(whole.join(days, "day", "left_semi")), spec)

@@ -140,3 +140,15 @@ def test_words_are_upper_cased_after_they_are_counted(given):
 def test_payload_fields_are_read_in_one_go(spark):
     text = plan(queries()["sink_payload_json"](spark, FOLDER))
     assert "get_json_object(payload" not in text and text.count("json_tuple(") == 4
+
+
+def test_all_trades_look_customers_up_once_for_each_order(given):
+    text = plan(given.read("fact_trade"))
+    scan = next(n for n, line in enumerate(text.split("\n")) if "FileScan parquet" in line and "l_orderkey" in line)
+    joins = [line for line in path_to_root(text, scan) if "Join" in line]
+    assert any("o_orderkey" in line for line in joins) and not any("c_custkey" in line for line in joins)
+
+
+def test_a_whole_trade_rollup_does_not_join_again_for_each_aggregation(given):
+    text = plan(given.rollup("mv_trades_daily"))
+    assert "l_shipdate" not in text and "Join" not in text

@@ -152,3 +152,10 @@ def test_all_trades_look_customers_up_once_for_each_order(given):
 def test_a_whole_trade_rollup_does_not_join_again_for_each_aggregation(given):
     text = plan(given.rollup("mv_trades_daily"))
     assert "l_shipdate" not in text and "Join" not in text
+
+
+def test_trades_are_kept_once_for_both_sides_of_a_difference(spark, monkeypatch):
+    made, usual = [], FixtureTables._fact_trade
+    monkeypatch.setattr(FixtureTables, "_fact_trade", lambda self, floor: made.append(floor) or usual(self, floor))
+    text = plan(queries()["mv_refresh_diff"](spark, FOLDER))
+    assert made == [None] and "l_shipdate" not in text

@@ -142,7 +142,7 @@ def refresh_by_difference(warehouse: Warehouse, name: str, facts: Tables) -> Dat
     tx = warehouse.begin()
     before = tx.months(name)
     # The new rollup is computed once, by writing it; the comparison reads what was written.
-    written = {m: [f] for m, f in tx.write(name, spec.build(facts.read(spec.fact))).items()}
+    written = {m: [f] for m, f in tx.write(name, spec.build(facts.facts_of(name))).items()}
     old = warehouse.folders_as_table(name, tx.state.folders(name))
     new = warehouse.folders_as_table(name, [f for fs in written.values() for f in fs])
     changes = difference(old, new, spec.keys)

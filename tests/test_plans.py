@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from checks.queries import all_decoded, queries
 from tests.helpers import dicts, frame
 from tradewind.operators import dedup, notices, rollups, upserts
-from tradewind.plans import dashboards
+from tradewind.plans import dashboards, refresh
 from tradewind.sources.fixtures import AS_OF, FixtureTables
+from tradewind.sources.kept import Kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -159,3 +160,12 @@ def test_trades_are_kept_once_for_both_sides_of_a_difference(spark, monkeypatch)
     monkeypatch.setattr(FixtureTables, "_fact_trade", lambda self, floor: made.append(floor) or usual(self, floor))
     text = plan(queries()["mv_refresh_diff"](spark, FOLDER))
     assert made == [None] and "l_shipdate" not in text
+
+
+def test_refresh_keeps_trades_once(given, warehouse, monkeypatch):
+    kept, usual = [], Kept.__init__
+    monkeypatch.setattr(Kept, "__init__", lambda self, tables, fact, columns: kept.append(fact) or usual(self, tables, fact, columns))
+    assert refresh.refresh(warehouse, "mv_trades_daily", given) == "SUCCESS"
+    assert kept == ["fact_trade"]
+    built = rollups.ROLLUPS["mv_trades_daily"].build(given.read("fact_trade"))
+    assert sorted(map(str, dicts(warehouse.rollup("mv_trades_daily")))) == sorted(map(str, dicts(built)))

@@ -56,7 +56,7 @@ def refresh(
             _refresh_by_states(warehouse, tx, spec)
         else:
             source = warehouse if facts is None else facts
-            tx.replace(name, (build or spec.build)(source.read(spec.fact)))
+            tx.replace(name, (build or spec.build)(source.read(spec.fact) if build else source.facts_of(name)))
             _forget_state(tx, spec)
         tx.commit()
         rows = warehouse.read(name).count()

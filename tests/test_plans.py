@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import all_decoded, queries
 from tests.helpers import dicts, frame
-from tradewind.operators import dedup, notices, rollups, upserts
+from tradewind.operators import dedup, notices, refreshes, rollups, upserts
 from tradewind.plans import dashboards, refresh
 from tradewind.sources.fixtures import AS_OF, FixtureTables
 from tradewind.sources.kept import Kept
@@ -169,3 +169,8 @@ def test_refresh_keeps_trades_once(given, warehouse, monkeypatch):
     assert kept == ["fact_trade"]
     built = rollups.ROLLUPS["mv_trades_daily"].build(given.read("fact_trade"))
     assert sorted(map(str, dicts(warehouse.rollup("mv_trades_daily")))) == sorted(map(str, dicts(built)))
+
+
+def test_sizes_of_rollups_need_no_sums_or_distinct_values(given):
+    text = plan(refreshes.status(given, AS_OF))
+    assert "l_suppkey" not in text and "p_retailprice" not in text and "o_totalprice" not in text

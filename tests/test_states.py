@@ -150,6 +150,15 @@ def test_literal_trades(spark):
     assert found == {"2024-01-05": (3, 7, 3, 1.5, 1, 2), "2024-01-06": (None, None, 1, None, 0, 0), "None": (None, 5, 1, None, 0, 0)}
 
 
+@pytest.mark.parametrize("name", rollups.ROLLUPS)
+def test_size_is_the_number_of_rows_built(spark, name):
+    spec = rollups.ROLLUPS[name]
+    facts = some(spark, spec.fact, random.Random(6), 40)
+    undated = some(spark, spec.fact, random.Random(7), 9).withColumn(spec.time, F.lit(None).cast("timestamp"))
+    for given in (facts.limit(0), facts, facts.unionByName(undated)):
+        assert dicts(spec.size(given)) == [{"n": spec.build(given).count()}]
+
+
 def gauges(tables):
     return [dicts(health.kpi_snapshot(tables, AS_OF)), dicts(health.kpi_summary(tables)), dicts(dashboards.overview_counts(tables)), dicts(dashboards.issuance_totals(tables))]
 

@@ -18,6 +18,10 @@ from tradewind.llm import decontaminate, jaccard_tree, knn_quality, packing, sec
 from tradewind.llm.shared import shared_folder, small_batches, stored, unused
 from tradewind.llm.tokenizing import default_vocabulary
 
+# The executors that run packing have run all other stages before. Less than alone is kept and encoded at a time, for more CPU time.
+KNOWN_WORDS = 200_000
+ENCODED_CHARS = 1_000_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -48,7 +52,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1,024 tokens and their places in sequences."""
     small_batches(spark)
-    return packing.digest(packing.pack(spark, docs, shared_folder(spark, "pipeline-packing"), default_vocabulary()))
+    packed = packing.pack(spark, docs, shared_folder(spark, "pipeline-packing"), default_vocabulary(), words=KNOWN_WORDS, chars=ENCODED_CHARS)
+    return packing.digest(packed)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -8,7 +8,7 @@ from tests.llm import cases
 from tests.llm.test_jaccard_tree import brute
 from tests.llm.test_secrets import base
 from tests.llm.test_token_files import ids_of
-from tradewind.llm import decontaminate, knn_quality, shared
+from tradewind.llm import decontaminate, knn_quality, packing, shared
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -81,3 +81,17 @@ def test_stages_take_awkward_rows(spark):
     empty = given.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_packing_is_held_to_the_pipelines_bounds(spark, monkeypatch):
+    asked, read = {}, "spark.sql.parquet.columnarReaderBatchSize"
+    pack = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: asked.update(b) or pack(*a, **b))
+    before = spark.conf.get(read)
+    try:
+        spark.conf.set(read, "4096")
+        corpus_pipeline.best_fit_packing(spark, cases.documents(spark, [(1, "a b"), (2, None)]), FOLDER)
+        assert int(spark.conf.get(read)) == shared.READ_ROWS
+    finally:
+        spark.conf.set(read, before)
+    assert asked["words"] <= 200_000 and asked["chars"] <= 1_000_000

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tradewind.llm.tokenizing import Encoder, default_vocabulary
+from tradewind.llm.tokenizing import Encoder, default_vocabulary, encoder
 
 
 def by_worker(texts, encoder=None):
@@ -48,3 +48,17 @@ def test_literals_of_added_tokens():
     texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c\n<|endoftext|>\nd", "x\t<|endoftext|>  <|endoftext|", "<| endoftext|> <|endoftext|>.", "x y"]
     assert by_worker(texts) == by_library(texts)
     assert by_worker(texts[:1]) == [[87, 220, 50256, 331]]
+
+
+def test_bounds_change_what_is_held_not_the_ids():
+    texts = [f"word{i} of {i * 7919} texts {'x' * (i % 40)}\n{i}" for i in range(300)]
+    held, ids, sizes = [], [], []
+    worker = encoder(default_vocabulary(), words=50, chars=400)
+    for _, some, n in worker.encode(pa.array(texts)):
+        held.append(len(worker.known)), ids.append(some), sizes.append(n)
+    assert len(held) > 20  # blocks of 400 characters
+    assert max(held) < 200  # 50 and what a block adds; all texts have over 900
+    parts = np.split(np.concatenate(ids), np.cumsum(np.concatenate(sizes))[:-1])
+    assert [p.tolist() for p in parts] == by_library(texts)
+    wide = encoder(default_vocabulary())  # the same worker, for an operator that asks for no bounds
+    assert wide is worker and len([at for at, _, _ in wide.encode(pa.array(texts))]) == 1

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.shared import few, stored
-from tradewind.llm.tokenizing import encoder
+from tradewind.llm.tokenizing import BLOCK_CHARS, CACHE_WORDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, place long"
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how often; (length, times) in a bin
@@ -127,7 +127,7 @@ def complete(counts: dict[int, int], capacity: int, descents: int = 24, width: i
 # ---- Spark -------------------------------------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 2, words: int = CACHE_WORDS, chars: int = BLOCK_CHARS) -> DataFrame:
     """Pieces with their ids, and the place of each among the pieces of its length in its task.
 
     Only documents longer than ``capacity`` are cut; the first piece takes what does not fill a whole one.
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 2) ->
         part, seen, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), int(end_id).to_bytes(4, "little")
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for at, tokens, sizes in encoder(vocabulary).encode(batch.column("text")):
+            for at, tokens, sizes in encoder(vocabulary, words, chars).encode(batch.column("text")):
                 raw, stop, rows = tokens.tobytes(), 0, []
                 for row, n in enumerate(sizes.tolist(), at):
                     content = raw[4 * stop : 4 * (stop + n)] + end
@@ -159,13 +159,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 2) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, capacity: int = 1024, end_id: int = 2, descents: int = 24) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, capacity: int = 1024, end_id: int = 2, descents: int = 24, words: int = CACHE_WORDS, chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) per piece.
 
+    ``words`` and ``chars`` bound what a worker keeps and what it encodes at a time; neither changes a result.
     The pieces are stored once. Their numbers by task and length give each piece its rank among all of its length
     without bringing a length together; patterns (a few per length) tell from the rank which sequence it goes to.
     """
-    cut = stored(pieces(docs, vocabulary, capacity, end_id), f"{folder}/pieces")
+    cut = stored(pieces(docs, vocabulary, capacity, end_id, words, chars), f"{folder}/pieces")
     by_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

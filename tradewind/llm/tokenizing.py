@@ -65,6 +65,7 @@ class Units:
 
 class Encoder:
     def __init__(self, path: str):
+        self.words, self.chars = CACHE_WORDS, BLOCK_CHARS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -123,7 +124,7 @@ class Encoder:
         second = pc.if_else(broken, pc.utf8_slice_codeunits(pieces, 1), tail)
         second = pc.if_else(pc.equal(second, ""), "", pc.binary_join_element_wise(_BEHIND, second, ""))
         units = pc.dictionary_encode(pa.concat_arrays([first, second]))
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.words:
             self.known = Units()
         at = self.known.find(units.dictionary)
         if (at < 0).any():
@@ -177,7 +178,7 @@ class Encoder:
         chars = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BLOCK_CHARS, "right")))
+            end = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + self.chars, "right")))
             some = texts.slice(at, end - at)
             whole = pc.match_substring_regex(some, f"[{_CUT}{_FIRST}{_BEHIND}]")
             for t in self.added:
@@ -205,10 +206,11 @@ def _bounds(lists: pa.Array, sizes: np.ndarray) -> np.ndarray:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary file."""
+def encoder(path: str, words: int = CACHE_WORDS, chars: int = BLOCK_CHARS) -> Encoder:
+    """One per worker process and vocabulary file, within the bounds last asked for."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].words, _ENCODERS[path].chars = words, chars
     return _ENCODERS[path]
 
 
